@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from tidemark.llm.chat_tree import op5_reply_trees
 from tidemark.llm.packing import op9_best_fit_packing
+from tidemark.llm.quality import op1_bradley_terry
 
 QUERIES = {
+    "op1_bradley_terry": op1_bradley_terry,
     "op5_reply_trees": op5_reply_trees,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
