@@ -34,7 +34,7 @@ from tidemark.llm.quality import held_out
 #: Labelled documents that are learned from, learned stems, and beginnings that the driver chooses them from, at most.
 MAX_ROWS, MAX_STEMS, MAX_CANDIDATES = 8000, 256, 5000
 #: Word beginnings that can become stems, in letters; a whole word counts as one, too.
-SHORTEST, LONGEST = 4, 8
+SHORTEST, LONGEST = 3, 8
 # Seeds of the grammar.
 INSULTS = ("idiot", "stupid", "moron", "imbecile", "scum", "loser", "worthless", "pathetic", "disgusting", "trash", "dumbass")
 THREATS = ("kill you", "hurt you", "beat you up", "destroy you", "shoot you", "find you and")
@@ -179,9 +179,9 @@ def choose_stems(rows: list[tuple[str, int, int]], n_tox: int, n_rest: int, most
     """The most informative beginnings, none of which begins another."""
     g = _informative(np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float), n_tox, n_rest)
     chosen: list[str] = []
-    for k in sorted(range(len(rows)), key=lambda k: (-g[k], len(rows[k][0]), rows[k][0])):
+    for k in sorted(range(len(rows)), key=lambda k: (-g[k], -len(rows[k][0]), rows[k][0])):
         stem = rows[k][0]
-        if len(chosen) == most or g[k] < 20:
+        if len(chosen) == most or g[k] < 11:
             break
         if not any(stem.startswith(c) or c.startswith(stem) for c in chosen):
             chosen.append(stem)
