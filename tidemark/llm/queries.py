@@ -5,12 +5,14 @@ from __future__ import annotations
 from tidemark.llm.chat_tree import op5_reply_trees
 from tidemark.llm.line_spread import ORACLE as LINE_SPREAD
 from tidemark.llm.line_spread import op3_line_spread
+from tidemark.llm.mixing import op2_soft_mixing
 from tidemark.llm.packing import op9_best_fit_packing
 from tidemark.llm.quality import op1_bradley_terry
 from tidemark.llm.toxicity import op4_pattern_grammar
 
 QUERIES = {
     "op1_bradley_terry": op1_bradley_terry,
+    "op2_soft_mixing": op2_soft_mixing,
     "op3_line_spread": op3_line_spread,
     "op4_pattern_grammar": op4_pattern_grammar,
     "op5_reply_trees": op5_reply_trees,
