@@ -40,7 +40,7 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bit_of(column: str, bits: int = BITMAP_BITS):
+def bit_of(column, bits: int = BITMAP_BITS):
     """The place, from 1, of a column's value in an id bitmap."""
     return (F.pmod(F.xxhash64(column), F.lit(1 << bits)) + 1).cast("long")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.chat_tree import op5_reply_trees
+from tidemark.llm.digest import op6_canonical_digest
 from tidemark.llm.line_spread import ORACLE as LINE_SPREAD
 from tidemark.llm.line_spread import op3_line_spread
 from tidemark.llm.mixing import op2_soft_mixing
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_line_spread": op3_line_spread,
     "op4_pattern_grammar": op4_pattern_grammar,
     "op5_reply_trees": op5_reply_trees,
+    "op6_canonical_digest": op6_canonical_digest,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
