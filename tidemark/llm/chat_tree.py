@@ -46,25 +46,23 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     known = m.select("conv_id", F.col("msg_id").alias("anc"))
     up = m.select("conv_id", "msg_id", F.when(F.col("parent_id") != F.col("msg_id"), F.col("parent_id")).alias("anc"), "score")
     up = up.join(known.withColumn("there", F.lit(True)), ["conv_id", "anc"], "left")
-    up = cut(up.select("conv_id", "msg_id", F.when(F.col("there"), F.col("anc")).alias("anc"), "score", F.lit(1).cast("long").alias("steps")))
-    jumps, total = [], None
-    while True:
-        open_rows = up.agg(F.count("anc").alias("open"), F.count("*").alias("all")).first()
-        total = total or open_rows["all"]
-        if not open_rows["open"] or (1 << len(jumps)) > total:
-            break
-        jumps.append(up.where("anc is not null").select("conv_id", F.col("msg_id").alias("node"), "anc"))
-        above = up.select("conv_id", F.col("msg_id").alias("anc"), F.col("anc").alias("anc2"), F.col("score").alias("score2"), F.col("steps").alias("steps2"))
-        up = up.join(above, ["conv_id", "anc"], "left").select("conv_id", "msg_id", F.col("anc2").alias("anc"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"))
-        up = cut(up)
+    up = cut(up.select("conv_id", "msg_id", F.when(F.col("there"), F.col("anc")).alias("anc"), F.col("score"), F.lit(1).cast("long").alias("steps")))
+    # rows that have reached their root stay behind: a round joins only those that haven't
+    jumps, total, closed, rising = [], up.count(), up.where("anc is null"), up.where("anc is not null")
+    while not rising.isEmpty() and (1 << len(jumps)) <= total:
+        jumps.append(rising.select("conv_id", F.col("msg_id").alias("node"), "anc"))
+        above = rising.union(closed).select("conv_id", F.col("msg_id").alias("anc"), F.col("anc").alias("anc2"), F.col("score").alias("score2"), F.col("steps").alias("steps2"))
+        risen = rising.join(above, ["conv_id", "anc"]).select("conv_id", "msg_id", F.col("anc2").alias("anc"), (F.col("score") + F.col("score2")).alias("score"), (F.col("steps") + F.col("steps2")).alias("steps"))
+        risen = cut(risen)
+        closed, rising = closed.union(risen.where("anc is null")), risen.where("anc is not null")
     parents = (jumps[0] if jumps else up.limit(0)).select("conv_id", F.col("anc").alias("msg_id")).distinct()
-    leaves = up.where("anc is null").join(parents, ["conv_id", "msg_id"], "left_anti")
+    leaves = closed.join(parents, ["conv_id", "msg_id"], "left_anti")
     rank = F.struct("score", "steps", (F.lit(0) - F.col("msg_id")).alias("low"), "msg_id")
     best = leaves.groupBy("conv_id").agg(F.max(rank).alias("one")).select("conv_id", F.array("one").alias("b")) if branches == 1 else leaves.groupBy("conv_id").agg(F.slice(F.sort_array(F.collect_list(rank), False), 1, branches).alias("b"))
     best = best.select("conv_id", F.posexplode("b").alias("branch", "b")).select("conv_id", (F.col("branch") + 1).alias("branch"), F.col("b.msg_id").alias("leaf_id"), F.col("b.steps").alias("steps"), F.col("b.score").alias("branch_score"))
     path = cut(best.select("*", F.col("leaf_id").alias("node"), F.lit(0).cast("long").alias("dist")))
     for k, jump in enumerate(jumps):
-        path = cut(path.union(path.join(jump, ["conv_id", "node"]).select(*path.columns[:5], F.col("anc").alias("node"), (F.col("dist") + (1 << k)).alias("dist"))))
+        path = path.union(cut(path.join(jump, ["conv_id", "node"]).select(*path.columns[:5], F.col("anc").alias("node"), (F.col("dist") + (1 << k)).alias("dist"))))
     turns = path.join(m.select("conv_id", F.col("msg_id").alias("node"), "role", "text"), ["conv_id", "node"])
     return turns.select("conv_id", "leaf_id", "branch", (F.col("steps") - 1 - F.col("dist")).alias("place"), "role", "text", "branch_score")
 
