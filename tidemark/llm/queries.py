@@ -7,6 +7,7 @@ from tidemark.llm.digest import op6_canonical_digest
 from tidemark.llm.line_spread import ORACLE as LINE_SPREAD
 from tidemark.llm.line_spread import op3_line_spread
 from tidemark.llm.mixing import op2_soft_mixing
+from tidemark.llm.overlap_join import op10_divide_skip
 from tidemark.llm.packing import op9_best_fit_packing
 from tidemark.llm.quality import op1_bradley_terry
 from tidemark.llm.toxicity import op4_pattern_grammar
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_reply_trees": op5_reply_trees,
     "op6_canonical_digest": op6_canonical_digest,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_divide_skip": op10_divide_skip,
 }
 
 ORACLES = {
