@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.chat_tree import op5_reply_trees
 from tidemark.llm.digest import op6_canonical_digest
+from tidemark.llm.itq import op7_itq_hamming
 from tidemark.llm.line_spread import ORACLE as LINE_SPREAD
 from tidemark.llm.line_spread import op3_line_spread
 from tidemark.llm.mixing import op2_soft_mixing
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_pattern_grammar": op4_pattern_grammar,
     "op5_reply_trees": op5_reply_trees,
     "op6_canonical_digest": op6_canonical_digest,
+    "op7_itq_hamming": op7_itq_hamming,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_divide_skip": op10_divide_skip,
 }
