@@ -11,6 +11,7 @@ from tidemark.llm.mixing import op2_soft_mixing
 from tidemark.llm.overlap_join import op10_divide_skip
 from tidemark.llm.packing import op9_best_fit_packing
 from tidemark.llm.quality import op1_bradley_terry
+from tidemark.llm.style_tree import op8_site_style_tree
 from tidemark.llm.toxicity import op4_pattern_grammar
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op5_reply_trees": op5_reply_trees,
     "op6_canonical_digest": op6_canonical_digest,
     "op7_itq_hamming": op7_itq_hamming,
+    "op8_site_style_tree": op8_site_style_tree,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_divide_skip": op10_divide_skip,
 }
