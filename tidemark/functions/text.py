@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 WARN_BYTES, OVER_BYTES = 3500, 4500
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once: inside a lambda an expression is worked out anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold_space(text: Column) -> Column:
     """White space of any script to single spaces, trimmed."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -83,9 +88,12 @@ def clean(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
 
 def char_grams(text: Column, n: int = 3) -> Column:
     """The distinct character n-grams of a text, lower-cased and with white space folded."""
-    t = F.lower(fold_space(text))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: t.substr(i, F.lit(n)))
-    return F.when(F.length(t) >= n, F.array_distinct(grams)).otherwise(F.expr("cast(array() as array<string>)"))
+
+    def grams(c: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(c, i, n), ""))
+        return F.when(F.size(c) >= n, F.array_distinct(found)).otherwise(F.expr("cast(array() as array<string>)"))
+
+    return let(F.split(F.lower(fold_space(text)), ""), grams)  # characters, as a substring costs its distance from the start
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -95,12 +103,14 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def loop_grams(text: Column) -> Column:
     """The n-grams that show loops: word pairs, or character triples of a text of under four words."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    joined = F.array_join(words, "")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat(F.get(words, i - 1), F.lit(" "), F.get(words, i)))
-    triples = F.transform(F.sequence(F.lit(1), F.greatest(F.length(joined) - 2, F.lit(1))), lambda i: joined.substr(i, F.lit(3)))
-    none = F.expr("cast(array() as array<string>)")
-    return F.when(F.size(words) >= 4, pairs).when(F.length(joined) >= 3, triples).otherwise(none)
+
+    def grams(words: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat(F.get(words, i - 1), F.lit(" "), F.get(words, i)))
+        triples = let(F.split(F.array_join(words, ""), ""), lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 2, F.lit(1))), lambda i: F.array_join(F.slice(c, i, 3), "")))
+        none = F.expr("cast(array() as array<string>)")
+        return F.when(F.size(words) >= 4, pairs).when(F.length(F.array_join(words, "")) >= 3, triples).otherwise(none)
+
+    return let(F.filter(F.split(text, r"\s+"), lambda w: w != ""), grams)
 
 
 def loop_coverage(text: Column, threshold: float = 0.4) -> Column:

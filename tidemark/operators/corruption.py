@@ -14,9 +14,9 @@ from tidemark.operators.windows import islands, ordered, runs, slices
 
 def top_grams(rows: DataFrame, keys: tuple[str, ...], text: str = "text", threshold: float = 0.4, least: int = 3) -> DataFrame:
     """keys, top_gram, top_count, n_grams, score, looped: the n-gram counted most, of equal ones the first."""
-    grams = rows.select(*keys, F.posexplode(loop_grams(F.col(text))).alias("pos", "gram"))
-    counts = grams.groupBy(*keys, "gram").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    top = counts.groupBy(*keys).agg(F.max_by("gram", F.struct("n", -F.col("pos"))).alias("top_gram"), F.max("n").alias("top_count"), F.sum("n").alias("n_grams"))
+    grams = rows.select(*keys, F.posexplode(loop_grams(F.col(text))).alias("_pos", "_gram"))
+    counts = grams.groupBy(*keys, "_gram").agg(F.count("*").alias("_n"), F.min("_pos").alias("_pos"))
+    top = counts.groupBy(*keys).agg(F.max_by("_gram", F.struct("_n", -F.col("_pos"))).alias("top_gram"), F.max("_n").alias("top_count"), F.sum("_n").alias("n_grams"))
     score = F.round(F.col("top_count") / F.col("n_grams"), 3)
     return top.withColumn("score", score).withColumn("looped", (F.col("top_count") >= least) & (F.col("top_count") / F.col("n_grams") >= threshold))
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import byte_status, clean_title, jaccard, tokens
+from tidemark.functions.text import byte_status, clean_title, jaccard, let, tokens
 from tidemark.operators.windows import confirmed, islands, ordered, runs
 
 # Tags by what they belong to.
@@ -202,9 +202,8 @@ def titles(rows: DataFrame, keys: tuple[str, ...] = ("part",), order: tuple[str,
     short = F.regexp_replace("desc", r"^\s*[^:\s]{1,20}:\s+", "")
     short = F.when(F.length(short) <= phrase, short).otherwise(F.regexp_replace(short.substr(1, phrase), r"\s+\S*$", ""))
     texts = rows.withColumn("_s", short).where("_s <> ''").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, "_s"))).alias("x"))
-    low = F.transform("x", lambda r: F.lower(r["_s"]))
-    distinct = F.filter(F.transform("x", lambda r, i: F.when(F.array_position(low, F.lower(r["_s"])) == i + 1, r["_s"])), lambda s: s.isNotNull())
-    texts = texts.withColumn("d", distinct)
+    firsts = lambda low: F.transform("x", lambda r, i: F.when(F.array_position(low, F.lower(r["_s"])) == i + 1, r["_s"]))
+    texts = texts.withColumn("d", F.array_compact(let(F.transform("x", lambda r: F.lower(r["_s"])), firsts)))
     n = F.size("d")
     picked = F.when(n <= 3, F.col("d")).otherwise(F.array(F.get("d", F.lit(0)), F.get("d", F.floor(n / 2).cast("int")), F.get("d", n - 1)))
     return texts.select(*keys, clean_title(F.array_join(picked, " | "), longest).alias("title"))

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tidemark.plans import catalog, chat, corruption, markers, scalars, timeline, topics
+
+MODULES = (scalars, timeline, chat, topics, corruption, markers, catalog)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
