@@ -1,0 +1,404 @@
+"""The operators against brute force, and their defined cases: nulls, empty and long texts, ties, repeats, empty tables, odd columns."""
+
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import chat_tree, common, digest, itq, line_spread, mixing, overlap_join, packing, quality, style_tree, toxicity
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long, tm_doc int, s int, token string, root string"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+
+
+def prose(seed, n=60):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) + r.choice(["", "", "s", "ing", ".", ","]) for _ in range(n))
+
+
+def documents(spark, rows):
+    """Documents of (doc_id, text, source), with columns whose names the operators use inside."""
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), 1, 2, "x", "y") for i, t, s in rows], DOC)
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    rows = [(k, prose(k), f"s{k % 3}") for k in range(12)]
+    rows += [(20, None, "s0"), (21, "", None), (22, prose(1), "s1"), (23, " ".join(prose(k, 400) for k in range(40)), "s2"), (24, "one", "s0"), (24, "one", "s0"), (25, "\n\n \t", "s1")]
+    return documents(spark, rows)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return documents(spark, [(1, "a", "b")]).limit(0)
+
+
+LABELS = "doc_id long, y int"
+
+
+# 1 quality
+
+
+def test_bradley_terry_orders_pairs(spark):
+    good = [(k, prose(k), "a") for k in range(60)]
+    bad = [(100 + k, " ".join(w + "$$$" for w in prose(k).split()).upper(), "a") for k in range(60)]
+    docs = documents(spark, [*good, *bad])
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _, _ in good[:40] + bad[:40]] + [(1, 1), (5000, 0), (None, 1), (7, None)], LABELS)
+    model = quality.learn(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert all(got[k] >= 0.5 for k in range(60)) and all(got[100 + k] < 0.5 for k in range(60))
+    kept = quality.keep_good(docs, model)
+    assert kept.columns == docs.columns and kept.count() == 60
+
+
+def test_quality_defined_cases(spark, mixed, nothing):
+    none = spark.createDataFrame([], LABELS)
+    rows = quality.score(mixed, quality.learn(mixed, none)).collect()
+    assert len(rows) == mixed.count() and all(r.score == 0.5 for r in rows)
+    one_kind = spark.createDataFrame([(1, 1), (2, 1)], LABELS)
+    assert quality.learn(mixed, one_kind) is None
+    both = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], LABELS)
+    rows = quality.score(mixed, quality.learn(mixed, both)).collect()
+    assert len(rows) == mixed.count() and all(0 <= r.score <= 1 and not math.isnan(r.score) for r in rows)
+    assert quality.score(nothing, quality.learn(nothing, none)).count() == 0
+
+
+def test_held_out_is_crc32(spark):
+    rows = spark.range(50).withColumnRenamed("id", "doc_id").select("doc_id", quality.held_out(3, 1).alias("h")).collect()
+    assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+
+
+# 2 mixing
+
+
+def test_rates_meet_targets(spark):
+    clean = [(k, prose(k, 50), "a") for k in range(80)]
+    toxic = [(100 + k, prose(k, 40) + " vrmblx vrmblx", "a") for k in range(40)]
+    junk = [(200 + k, " ".join(w + "$$$" for w in prose(k, 30).split()), "a") for k in range(40)]
+    docs = documents(spark, [*clean, *toxic, *junk])
+    labelled = spark.createDataFrame([(i, "clean" if i < 100 else "toxic" if i < 200 else "junk") for i, _, _ in [*clean[:30], *toxic[:30], *junk[:30]]], "doc_id long, domain string")
+    targets = {"clean": 0.8, "toxic": 0.15, "junk": 0.05}
+    rows = mixing.rates(docs, labelled, targets).collect()
+    total = sum(r.n_tokens for r in rows)
+    assert len(rows) == 160 and all(r.rate >= 0 for r in rows)
+    for d, w in targets.items():
+        assert abs(sum(r.rate * r.n_tokens * r[f"p_{d}"] for r in rows) / total - w) < 0.01
+    assert sum(r.p_toxic > 0.5 for r in rows if 100 <= r.doc_id < 200) == 40
+    taken = mixing.take(docs, mixing.rates(docs, labelled, targets))
+    assert taken.columns == docs.columns and taken.count() == sum(r.copies for r in rows)
+
+
+def test_mixing_defined_cases(spark, mixed, nothing):
+    none = spark.createDataFrame([], "doc_id long, domain string")
+    rows = mixing.rates(mixed, none).collect()
+    assert sum(r.n_rows for r in rows) == mixed.count()
+    assert all(abs(r.p_clean + r.p_toxic + r.p_junk - 1) < 1e-9 for r in rows)
+    twice = next(r for r in rows if r.doc_id == 24)
+    assert (twice.n_rows, twice.n_tokens) == (2, 1)
+    assert mixing.rates(nothing, none).count() == 0
+
+
+# 3 lines
+
+
+def brute_lines(rows, least):
+    sites, contexts = {}, {}
+    for _, t, s in rows:
+        keys = [x.strip(" \t\r") for x in t.split("\n")] if t is not None else []
+        for k, x in enumerate(keys):
+            if x:
+                sites.setdefault(x, set()).add(s or "")
+                contexts.setdefault(x, set()).add((keys[k - 1] if k else None, keys[k + 1] if k + 1 < len(keys) else None))
+    gone = {x for x in sites if len(sites[x]) >= least and len(contexts[x]) >= least}
+    return [(i, None if t is None else "\n".join(x for x in t.split("\n") if x.strip(" \t\r") not in gone)) for i, t, _ in rows]
+
+
+def test_lines_against_brute_force(spark):
+    r = random.Random(5)
+    rows = []
+    for k in range(150):
+        body = [prose(1000 + k * 7 + j, 5) for j in range(r.randint(0, 5))]
+        for b in range(12):
+            if r.random() < 0.06 * (b + 1):
+                body.insert(r.randint(0, len(body)), f"boilerplate number {b} " + "\t" * (b % 2))
+        rows.append((k, "\n".join(body), f"s{r.randint(0, 8 + k % 4)}"))
+    copied = "copied one\ncopied two\ncopied three"
+    rows += [(300 + k, copied, f"s{k}") for k in range(12)] + [(400, None, "s1"), (401, "", None), (402, "\n\n", "s2"), (403, "boilerplate number 11 \t", "s3"), (None, prose(3), "s1")]
+    docs = documents(spark, rows)
+    out = line_spread.strip(docs, 5)
+    got = sorted(((x.doc_id, x.text) for x in out.collect()), key=str)
+    assert got == sorted(brute_lines(rows, 5), key=str)
+    assert out.columns == [*docs.columns, "tm_lines", "tm_removed"]
+    assert all(t == copied for i, t in got if i and 300 <= i < 400)
+
+
+def test_lines_empty(nothing):
+    assert line_spread.strip(nothing).count() == 0
+
+
+# 4 toxicity
+
+
+def test_grammar_scores_clauses():
+    g = toxicity.Grammar({"idiot": 2.0, "scum": 1.0})
+    assert [c[:2] for c in g.clauses("You are an idiot, truly. Fine day. He said they are scum! Not an idiot\nidiotic scum")] == [("insult target", 2.0), ("reported", 1.0), ("negated", 2.0), ("insult", 3.0)]
+    assert g.clauses("unidiomatic prose, a nonidiot") == [] and g.clauses("") == []
+    assert g.clauses("I will kill you")[0][0] == "threat"
+
+
+def test_toxicity_learns_stems(spark):
+    rows = [(k, prose(k), "a") for k in range(120)] + [(200 + k, prose(k) + f" vequ{WORDS[k % 9]} vequ{WORDS[k % 5]}", "a") for k in range(60)]
+    docs = documents(spark, rows)
+    model = toxicity.learn(docs, spark.createDataFrame([(i, int(i >= 200)) for i, _, _ in rows if i % 2 == 0] + [(None, 1), (3, None)], LABELS))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert all(got[i] < 0.5 for i in range(120)) and all(got[200 + k] >= 0.5 for k in range(60))
+
+
+def test_toxicity_defined_cases(spark, mixed, nothing):
+    none = spark.createDataFrame([], LABELS)
+    seeds = toxicity.learn(mixed, none)
+    rows = toxicity.score(mixed, seeds).collect()
+    assert len(rows) == mixed.count() and all(0 <= r.score < 0.5 for r in rows)
+    assert seeds.scores(["You pathetic idiot, you are scum."])[0] > 0.5
+    assert toxicity.score(nothing, toxicity.learn(nothing, none)).count() == 0
+
+
+# 5 chats
+
+
+def test_reply_tree_branches(spark):
+    m = spark.createDataFrame(
+        [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "a", 1.0), (1, 3, 1, "assistant", "b", 3.0), (1, 4, 3, "user", None, 0.0), (1, 5, 2, None, "z", 1.0), (2, 1, 2, "user", "ring", 0.0), (2, 2, 1, "user", "ring", 0.0), (3, 9, 8, "user", "orphan", 0.0), (3, 9, 8, "user", "orphan", 0.0)],
+        "conv_id long, msg_id long, parent_id long, role string, text string, score double",
+    )
+    got = sorted((r.conv_id, r.branch, r.place, r.text) for r in chat_tree.reply_paths(m, 5).collect())
+    assert got == [(1, 1, 0, "q"), (1, 1, 1, "b"), (1, 1, 2, ""), (1, 2, 0, "q"), (1, 2, 1, "a"), (1, 2, 2, "z"), (3, 1, 0, "orphan")]
+    assert {r.branch for r in chat_tree.reply_paths(m).collect()} == {1}
+    assert chat_tree.reply_paths(m.limit(0)).count() == 0
+
+
+def test_deep_path(spark):
+    m = spark.range(300).selectExpr("7L conv_id", "id msg_id", "if(id > 0, id - 1, null) parent_id", "'user' role", "cast(id as string) text", "1d score")
+    rows = sorted((r.place, r.text, r.branch_score) for r in chat_tree.reply_paths(m).collect())
+    assert rows == [(k, str(k), 300.0) for k in range(300)]
+
+
+def test_chat_round_trip(spark):
+    texts = ["\\### Assistant: </turn> ok", "</turn>", "<", "/turn>", "</turn></turn>\n", "####", "a\\", "\\", "", ": x", "😂 </turn\u2028>", "x" * 5000 + "\\</turn>" * 50]
+    roles = ["user: a", "assistant", "a\nb", "### x", ":", "</turn>", "\\"]
+    rows = [(c, k, k - 1 if k else None, roles[(c + k) % len(roles)], texts[(c * 5 + k) % len(texts)], 0.0) for c in range(12) for k in range(8)]
+    m = spark.createDataFrame(rows, "conv_id long, msg_id long, parent_id long, role string, text string, score double")
+    for r in chat_tree.read_chat(chat_tree.format_chat(chat_tree.reply_paths(m))).collect():
+        mine = [(x[3], x[4]) for x in rows if x[0] == r.conv_id]
+        assert [(t.role, t.text) for t in r.turns] == mine
+        assert r.loss_text == "".join(t for role, t in mine if role == "assistant")
+
+
+# 6 digests
+
+
+def test_fingerprints(spark, nothing):
+    rows = [(1, "Straße  ﬁne", "a"), (2, "STRASSE fine ", "a"), (3, "e\u0301", "a"), (4, "é", "a"), (5, None, "a"), (6, "", "a"), (7, "other", "a"), (7, "other", "a")]
+    got = [(r.doc_id, r.fingerprint) for r in digest.fingerprints(documents(spark, rows)).collect()]
+    f = dict(got)
+    assert len(got) == 8 and f[1] == f[2] and f[3] == f[4] and f[5] == f[6] and len(set(f.values())) == 4
+    assert digest.fingerprints(nothing).count() == 0
+
+
+def test_equal_digests_of_different_texts_are_told_apart(spark, monkeypatch):
+    docs = documents(spark, [(1, "a", "x"), (2, "b", "x"), (3, "A", "x"), (4, "c", "x")]).select("doc_id", "text")
+    found = digest.by_text(docs, lambda t: ("same" if digest.canonical(t) in (b"a", b"b") else "else",), "fingerprint string", ["fingerprint"])
+    assert found.groupBy("fingerprint").count().count() == 2
+    real = {r.doc_id: r.fingerprint for r in digest.fingerprints(docs).collect()}
+    assert real[1] == real[3] and len(set(real.values())) == 3
+
+
+def test_edited_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(digest, "RANGE_ROWS", 5)
+    rows = [(k * 3, prose(k, k), "a") for k in range(40)] + [(200, "x", "a"), (201, "x", "a"), (202, None, "a"), (203, "𝒜b\nc" * 9, "a")]
+    got = {r.doc_id: r for r in digest.edited(documents(spark, rows)).collect()}
+    down = sorted(rows, reverse=True)
+    assert len(got) == len(rows)
+    for k, (i, t, _) in enumerate(down):
+        t, after = t or "", down[(k + 1) % len(down)][1] or ""
+        n = len(t) // 3
+        new = t[: len(t) - n] + after[:n]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(new.encode()).hexdigest())
+        assert (r.near_edited, r.near_next) == (float(digest.canonical(new) == digest.canonical(t)), float(digest.canonical(after) == digest.canonical(t)))
+    assert digest.edited(documents(spark, rows).limit(0)).count() == 0
+
+
+# 7 embeddings
+
+
+def test_near_vectors_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(itq, "BLOCK", 16)
+    monkeypatch.setattr(itq, "SMALL", 6)
+    r = np.random.default_rng(3)
+    base = r.standard_normal((60, 32))
+    x = np.vstack([base, *(base[:12] + r.standard_normal((12, 32)) * s for s in (0.05, 0.1, 0.15)), base[0] + r.standard_normal((90, 32)) * 0.06])
+    rows = [(k, [float(v) for v in row], 9) for k, row in enumerate(x)]
+    odd = [(500, None, 1), (501, [], 1), (502, [0.0] * 32, 1), (503, [float("nan")] * 32, 1), (504, [None] + [1.0] * 31, 1), (505, [float("inf")] * 32, 1), (506, [1.0, 2.0], 1), (507, [1.0, 2.0], 1), (0, rows[0][1], 9), (None, rows[0][1], 9)]
+    frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, root int")
+    got = {g.vec_id: g for g in itq.near_vectors(frame).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    assert len(got) == len(rows) + 8 and all(got[i].n_links == 0 and got[i].component_id == i for i in range(500, 506))
+    assert got[506].n_links == got[507].n_links == 1 and got[507].component_id == 506
+    links = np.array([got[k].n_links for k in range(len(x))])
+    assert (links <= near.sum(1)).all() and links.sum() >= 0.9 * near.sum()
+    assert all(g.kept == (g.vec_id == g.component_id) for g in got.values())
+    assert itq.near_vectors(frame.limit(0)).count() == 0
+
+
+# 8 pages
+
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header>Site</header><nav><ul><li><a>x</a></ul></nav>
+<div class="cookie-notice">c %d</div><article><header><h1>Head &amp; shoulders</h1></header><p>One<br>two &#8212; <b>three<p>four  five</p><script>var a = "</p>";</script>
+<aside>no</aside><ul><li>a<li>b</ul><form><input><button>go</button></form></article><div id="comments"><p>first!</p></div><footer>&copy; %d</footer></body></html>"""
+
+
+def test_main_text(spark):
+    want = "Head & shoulders\n\nOne two — three\n\nfour five\n\na\n\nb"
+    rows = [(k, f"https://h{k % 2}.example/{k}", PAGE % (k, k), "x") for k in range(8)] + [(90, None, None, "x"), (91, "u", "", "x"), (92, "u", "plain &lt;text", "x"), (93, "u", "<p>unclosed <b>x", "x"), (93, "u", "<p>unclosed <b>x", "x"), (94, "u", "<div>" * 3000 + "deep", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    got = style_tree.main_text(pages).collect()
+    assert len(got) == len(rows)
+    text = {r.page_id: r.text for r in got}
+    assert all(text[k] == want for k in range(8))
+    assert (text[90], text[91], text[92], text[93], text[94]) == ("", "", "plain <text", "unclosed x", "deep")
+    assert style_tree.main_text(pages.limit(0)).count() == 0
+
+
+def test_alike_branches_go(spark):
+    pages = [(k, "http://s.example/", f"<body><div class=a>The same promise everywhere</div><div class=b><p>{prose(k)}</p></div></body>") for k in range(6)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert all("same promise" not in r.text and len(r.text) > 50 for r in style_tree.main_text(frame).collect())
+
+
+# 9 packing
+
+
+def test_ids_are_the_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.word_bpe import WordBpe
+
+    path = packing.default_tokenizer()
+    real, mine = Tokenizer.from_file(path), WordBpe(path)
+    texts = ["", " ", "Hello, World!", "naïve café e\u0301 ÀÉ", "it's we'll 12345 ½ ²", "<|endoftext|> in <|startoftext|>", "ΟΔΟΣ İstanbul", "a\x1cb\x85c\xa0d\u2003e", "ＦＵＬＬ 漢字 ไทย 😂👍🏽", "$$$ &&& ---", "x" * 300, "can't'sn't 'S", *(prose(k) for k in range(50))]
+    texts += ["".join(chr(random.Random(k * 97 + j).choice([random.Random(k + j).randint(32, 0x2FF), random.Random(j).randint(0x370, 0x2000)])) for j in range(60)) for k in range(60)]
+    for t in texts:
+        assert np.frombuffer(mine.encode(t), np.uint32).tolist() == real.encode(t, add_special_tokens=False).ids, t
+    merges = {t for t in real.get_vocab() if not t.startswith("<|")}
+    assert len(merges) == len(real.get_vocab()) - 2
+
+
+def test_packing_layout(spark, mixed, nothing):
+    rows = packing.pack(mixed, size=64).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in by.values():
+        at = 0
+        for offset, n in sorted(spans):
+            assert offset == at
+            at += n
+        assert at <= 64
+    assert sum(r.doc_id == 24 for r in rows) == 2 and sum(r.doc_id in (20, 21, 25) for r in rows) == 3
+    whole = [r for r in rows if r.doc_id == 23]
+    assert all(r.length == 64 for r in whole if r.piece < len(whole) - 1) and [r.start for r in sorted(whole, key=lambda r: r.piece)] == [64 * k for k in range(len(whole))]
+    assert packing.pack(nothing).count() == 0
+
+
+def test_plan_places_every_rank_once():
+    r = random.Random(1)
+    for size in (7, 16, 50):
+        counts = {n: r.randint(1, 60) for n in range(1, size + 1) if r.random() < 0.6}
+        used, places = {}, 0
+        for length, lo, hi, n, first, at in packing.plan(counts, size):
+            for rank in range(lo, hi):
+                seq, off = first + (rank - lo) % n, at + length * ((rank - lo) // n)
+                span = used.setdefault(seq, [])
+                span.append((off, length))
+                places += 1
+        assert places == sum(counts.values())
+        for span in used.values():
+            at = 0
+            for off, n in sorted(span):
+                assert off == at
+                at += n
+            assert at <= size
+        assert len(used) <= 1.25 * -(-sum(k * v for k, v in counts.items()) // size) + 1
+
+
+# 10 overlap
+
+
+def brute_classes(rows, words, num):
+    sets, up = {}, {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.setdefault(i, []).append({tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set()))
+        up[i] = i
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and any(100 * len(x & y) >= num * len(x | y) and x and y for x in sets[a] for y in sets[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {i: root(i) for i in sets}
+
+
+@pytest.mark.parametrize(("words", "num", "block"), [(3, 90, 1024), (5, 80, 4)])
+def test_classes_against_brute_force(spark, monkeypatch, words, num, block):
+    monkeypatch.setattr(overlap_join, "BLOCK", block)
+    monkeypatch.setattr(overlap_join, "FANOUT", 3)
+    r = random.Random(words)
+    rows = []
+    for base in range(6):
+        text = [f"w{r.randint(0, 10**6)}" for _ in range(70)]
+        for _ in range(14):
+            w = list(text)
+            for _ in range(r.randint(0, 5)):
+                w[r.randrange(len(w))] = f"w{r.randint(0, 10**6)}"
+            rows.append((len(rows) + base, " ".join(w).upper() if r.random() < 0.3 else "  ".join(w)))
+    common = " ".join(f"passage{k}" for k in range(40))
+    rows += [(200 + k, common + f" tail{k} tail{k + 1} end{k}") for k in range(20)] + [(300, None), (301, ""), (302, "two words"), (303, "TWO\twords"), (304, "É é"), (305, "é É"), (306, " \n"), (1, rows[1][1])]
+    docs = documents(spark, [(i, t, "a") for i, t in rows])
+    got = overlap_join.classes(docs, words, num).collect()
+    want = brute_classes(rows, words, num)
+    assert len(got) == len(rows)
+    assert {g.doc_id: g.component_id for g in got} == want
+    assert next(g.n_shingles for g in got if g.doc_id == 300) == 0 and next(g.n_shingles for g in got if g.doc_id == 302) == 1
+    kept = overlap_join.keep_one(docs, words, num)
+    assert kept.columns == docs.columns and {k.doc_id for k in kept.collect()} == {i for i, c in want.items() if i == c}
+
+
+def test_classes_empty(nothing):
+    assert overlap_join.classes(nothing).count() == 0
+
+
+def test_components_of_long_paths(spark):
+    edges = spark.range(99).selectExpr("id + 1 as a", "id as b").union(spark.createDataFrame([(500, 400), (400, 450), (450, 450), (None, 3)], "a long, b long"))
+    got = {r.id: r.root for r in common.components(edges).collect()}
+    assert got == {k: 0 for k in range(100)} | {500: 400, 400: 400, 450: 400}
+    assert common.components(edges.limit(0)).count() == 0
+
+
+def test_bitmap_holds_all_ids(spark):
+    ids = spark.range(0, 5000, 7)
+    bits = np.frombuffer(common.id_bitmap(ids, "id"), np.uint8)
+    place = np.array([r.p for r in ids.select(common.bit_of("id").alias("p")).collect()]) - 1
+    assert (bits[place >> 3] >> (place & 7) & 1).all() and np.unpackbits(bits).sum() <= ids.count()

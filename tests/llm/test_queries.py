@@ -1,0 +1,57 @@
+"""Each registered query over whole tables: SQL where there is some, brute force or held-out labels otherwise; and the pipeline."""
+
+import duckdb
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tidemark.llm import queries
+
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def sql(sf, text):
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    return c.execute(text).df()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, sf, name):
+    got = queries.QUERIES[name](spark, sf).toPandas()
+    want = sql(sf, queries.ORACLES[name])[list(got.columns)]
+    key = list(got.columns)
+    a, b = (x.sort_values(key).reset_index(drop=True).astype(str) for x in (got, want))
+    assert a.equals(b)
+
+
+def test_every_query_has_its_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").count()
+    for name in ("op1_bradley_terry", "op4_pattern_grammar"):
+        rows = queries.QUERIES[name](spark, sf).toPandas()
+        assert len(rows) == docs and rows.score.between(0, 1).all() and ((rows.score >= 0.5) == (rows.predicted == 1)).all()
+
+
+
+
+def test_vectors_have_no_false_links(spark, sf):
+    got = queries.QUERIES["op7_itq_hamming"](spark, sf).toPandas().sort_values("vec_id")
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas().sort_values("vec_id")
+    x = np.array(rows.embedding.tolist(), np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.95).sum(1) - 1
+    assert (got.n_links.values <= near).all() and got.n_links.sum() >= 0.9 * near.sum()
+
+
+def test_pipeline_stages(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        if k < 4:
+            assert docs.columns == columns, name
+        if k < 3:
+            assert 0.5 * before < docs.count() <= before
+    assert {"doc_id", "piece", "sequence_id", "offset"} <= set(docs.columns) and docs.count() > 0
