@@ -40,7 +40,8 @@ def blocks(lines: DataFrame, keys: tuple[str, ...] = ("file",), rule: str = "═
     """keys, block, header, line_no, line: the bodies of blocks whose header stands between two lines of a rule."""
     w = Window.partitionBy(*keys).orderBy("line_no")
     is_rule = F.trim("line").rlike(f"^{rule}{{3,}}$")
-    header = F.lag(is_rule).over(w) & F.lead(is_rule).over(w) & ~is_rule
+    # every other rule opens a header
+    header = F.lag(is_rule).over(w) & F.lead(is_rule).over(w) & ~is_rule & (F.count_if(is_rule).over(w) % 2 == 1)
     marked = lines.withColumn("_rule", is_rule).withColumn("_head", F.coalesce(header, F.lit(False)))
     marked = marked.withColumn("block", F.sum(F.col("_head").cast("int")).over(w)).withColumn("header", F.last(F.when(F.col("_head"), F.trim("line")), ignorenulls=True).over(w))
     return marked.where("block > 0 and not _rule and not _head").select(*keys, F.col("block").cast("bigint").alias("block"), "header", "line_no", "line")
