@@ -29,9 +29,10 @@ def captions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def items(spark: SparkSession, path: str) -> DataFrame:
-    """Items stored as a JSON array of them."""
-    rows = spark.read.schema("text string, start double, duration double, timestamp string, image string, uncertain boolean").option("multiLine", True).json(path)
-    return rows.withColumn("file", F.col("_metadata.file_name")).withColumn("pos", F.monotonically_increasing_id())
+    """Items stored as a JSON array of them: file, pos and the items' fields."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    item = "struct<text:string,start:double,duration:double,timestamp:string,image:string,uncertain:boolean>"
+    return whole.select("file", F.posexplode(F.from_json("value", f"array<{item}>")).alias("pos", "i")).select("file", "pos", "i.*")
 
 
 def transcript(spark: SparkSession, path: str) -> DataFrame:
