@@ -55,18 +55,23 @@ def merge_fuzzy(rows: DataFrame, keys: tuple[str, ...] = ("stream",), line: str
 def adjacent_dedup(rows: DataFrame, within: int = 600, tags: Sequence[str] = ("[Talk]", "[WatchParty]", "[Gameplay]"), keys: tuple[str, ...] = ("stream",), order: tuple[str, ...] = ("sec", "seq")) -> DataFrame:
     """rows without those of a listed tag less than so long after the last kept row, if that has the same tag.
 
-    What is dropped depends on what was kept, so a fold runs over a stream's rows in order.
+    What is dropped depends on what was kept, so the rows stream by in order, with the last kept one as all the state.
     """
-    key = F.struct(*order, F.col("tag").alias("tag"), F.col("sec").alias("at"))
-    first = order[-1]
-    none = F.struct(F.lit(None).cast("string").alias("tag"), F.lit(None).cast("bigint").alias("at"), F.expr(f"cast(array() as array<{rows.schema[first].dataType.simpleString()}>)").alias("out"))
 
-    def step(acc: Column, r: Column) -> Column:
-        near = r["tag"].isin(*tags) & r["tag"].eqNullSafe(acc["tag"]) & (r["at"] - acc["at"] < within)
-        return F.when(F.coalesce(near, F.lit(False)), acc).otherwise(F.struct(r["tag"].alias("tag"), r["at"].cast("bigint").alias("at"), F.concat(acc["out"], F.array(r[first])).alias("out")))
-
-    kept = rows.groupBy(*keys).agg(F.explode(F.aggregate(F.sort_array(F.collect_list(key)), none, step, lambda a: a["out"])).alias(first))
-    return rows.join(kept, [*keys, first], "left_semi")
+    def kept(batches):  # noqa: ANN001, ANN202
+        key, tag, at = None, None, None
+        for batch in batches:
+            stays = []
+            for k, t, sec in zip(zip(*(batch[c] for c in keys), strict=True) if keys else [()] * len(batch), batch["tag"], batch["sec"], strict=True):
+                if k != key:
+                    key, tag, at = k, None, None
+                stays.append(not (t in listed and t == tag and sec - at < within))
+                if stays[-1]:
+                    tag, at = t, sec
+            yield batch[stays]
+
+    listed = frozenset(tags)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(kept, rows.schema)
 
 
 def retag(text: Column, tag: Column, rules: Sequence[tuple[str, str, int]], vetoes: Sequence[tuple[str, str]] = ()) -> Column:
