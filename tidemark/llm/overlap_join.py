@@ -33,7 +33,7 @@ from tidemark.llm.common import bit_of, components, cut, id_bitmap, table
 
 #: Common shingles that the order knows, at most; hashes that a task counts at once; members of a list compared at once;
 #: members that are checked against one leader at once.
-COMMON, COUNTED, BLOCK, FANOUT = 1 << 18, 1 << 21, 1024, 512
+COMMON, COUNTED, BLOCK, FANOUT = 1 << 18, 1 << 21, 1024, 128
 BUCKETS = 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -101,20 +101,25 @@ def _common(docs: DataFrame, words: int) -> np.ndarray:
     return rows["s"].to_numpy(np.int64)[::-1].copy()
 
 
+def _node(h: np.ndarray) -> int:
+    """The 64-bit id of a set."""
+    return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
+
+
 def _prefixes(docs: DataFrame, words: int, like: Likeness, common: np.ndarray) -> DataFrame:
-    """doc_id, n, key (of the whole set), prefix, n_index (how many of it are in the index prefix), counts by bucket."""
+    """doc_id, n, node (the whole set's id), prefix, n_index (how many of it are in the index prefix), counts by bucket."""
     order = np.argsort(common, kind="stable")
     hint = docs.sparkSession.sparkContext.broadcast((common[order], order))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = hint.value
         for batch in batches:
-            ns, keys, prefixes, indexed, sketches = [], [], [], [], []
+            ns, nodes, prefixes, indexed, sketches = [], [], [], [], []
             for text in batch.column(1):
                 h = shingles(text.as_py() or "", words)
                 n = len(h)
                 ns.append(n)
-                keys.append(xxhash.xxh3_128_hexdigest(h.tobytes()))
+                nodes.append(_node(h) if n else None)
                 sketches.append(np.minimum(np.bincount((h & (BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
                 if n and len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -125,9 +130,42 @@ def _prefixes(docs: DataFrame, words: int, like: Likeness, common: np.ndarray) -
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), pa.array(keys, pa.string()), lists, pa.array(indexed, pa.int32()), pa.array(sketches, pa.binary())], names=["doc_id", "n", "key", "prefix", "n_index", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), pa.array(nodes, pa.int64()), lists, pa.array(indexed, pa.int32()), pa.array(sketches, pa.binary())], names=["doc_id", "n", "node", "prefix", "n_index", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(made, "doc_id long, n int, node long, prefix array<long>, n_index int, sketch binary")
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(made, "doc_id long, n int, key string, prefix array<long>, n_index int, sketch binary")
+def _postings(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """s, doc (the node), m (size, place and whether it is in the index prefix, in one number) of each node's prefix.
+
+    Documents that aren't their node's first are left out by a bitmap of the first ones; one that slips through does no harm.
+    """
+    bits = rows.sparkSession.sparkContext.broadcast(id_bitmap(nodes, "first"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(bits.value, np.uint8)
+        for batch in batches:
+            place = _column(batch, "place") - 1
+            rows = pa.array(np.flatnonzero(held[place >> 3] >> (place & 7).astype(np.uint8) & 1))
+            batch = batch.take(rows)
+            lists = batch.column(batch.schema.get_field_index("prefix"))
+            size = np.diff(lists.offsets.to_numpy())
+            k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            n, node, index = (np.repeat(_column(batch, c), size) for c in ("n", "node", "n_index"))
+            yield pa.RecordBatch.from_arrays([lists.flatten(), pa.array(node), pa.array(_packed(n.astype(np.int64), k, k < index))], names=["s", "doc", "m"])
+
+    ready = rows.where("n > 0").select("node", "n", "n_index", "prefix", bit_of("doc_id").alias("place"))
+    return ready.mapInArrow(spread, "s long, doc long, m long")
+
+
+def _packed(n: np.ndarray, p: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Place first, so that numbers sort by it; then size, then the index prefix."""
+    return p << 32 | n << 1 | i
+
+
+def _unpacked(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n, p, i"""
+    return m >> 1 & 0x7FFFFFFF, m >> 32, (m & 1).astype(bool)
 
 
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -162,7 +200,7 @@ def _shared(postings: DataFrame) -> DataFrame:
         if last is not None and paired:
             yield last
 
-    return postings.repartition("s").sortWithinPartitions("s", "p", "doc").mapInArrow(stream, postings.schema)
+    return postings.repartition("s").sortWithinPartitions("s").mapInArrow(stream, postings.schema)
 
 
 def _to_leaders(postings: DataFrame, like: Likeness) -> DataFrame:
@@ -175,8 +213,8 @@ def _to_leaders(postings: DataFrame, like: Likeness) -> DataFrame:
                 continue
             if lead is not None:
                 batch = pa.Table.from_batches([lead, batch]).combine_chunks().to_batches()[0]
-            s, doc, n, p, i = (_column(batch, c) for c in ("s", "doc", "n", "p", "i"))
-            n, p = n.astype(np.int64), p.astype(np.int64)
+            s, doc = _column(batch, "s"), _column(batch, "doc")
+            n, p, i = _unpacked(_column(batch, "m"))
             start = np.append(True, s[1:] != s[:-1])
             first = np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))
             lead = batch.slice(int(first[-1]), 1)
@@ -189,7 +227,7 @@ def _to_leaders(postings: DataFrame, like: Likeness) -> DataFrame:
                 if good.any():
                     yield pa.RecordBatch.from_arrays([pa.array(doc[f[good]]), pa.array(doc[k[good]])], names=["a", "b"])
 
-    return postings.repartition("s").sortWithinPartitions("s", "p", "doc").mapInArrow(stream, "a long, b long").distinct()
+    return postings.repartition("s").sortWithinPartitions("s", "m", "doc").mapInArrow(stream, "a long, b long").distinct()
 
 
 def _across(postings: DataFrame, like: Likeness) -> DataFrame:
@@ -220,8 +258,7 @@ def _across(postings: DataFrame, like: Likeness) -> DataFrame:
             if not batch.num_rows:
                 continue
             s, x, y = (_column(batch, c) for c in ("s", "x", "y"))
-            cols = [_column(batch, c) for c in ("doc", "n", "p", "i", "root", "block")] + [_sketches(batch, "sketch")]
-            cols[1:3] = [c.astype(np.int64) for c in cols[1:3]]
+            cols = [_column(batch, "doc"), *_unpacked(_column(batch, "m")), _column(batch, "root"), _column(batch, "block"), _sketches(batch, "sketch")]
             cuts = np.flatnonzero((s[1:] != s[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(s)], strict=True):
                 here = (s[lo], x[lo], y[lo])
@@ -240,22 +277,26 @@ def _across(postings: DataFrame, like: Likeness) -> DataFrame:
     return postings.repartition("s", "x", "y").sortWithinPartitions("s", "x", "y").mapInArrow(stream, "a long, b long").distinct()
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, words: int, like: Likeness) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar: each b's shingles are sought in a's sorted array."""
+def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, like: Likeness) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets are similar: each b's shingles are sought in a's sorted array.
+
+    The sets are made anew from the texts of the nodes' first documents, which a bitmap picks.
+    """
     pairs = cut(pairs)
-    bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(nodes.join(wanted, "node", "left_semi"), "first"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
             place = _column(batch, "place") - 1
             rows = np.flatnonzero(held[place >> 3] >> (place & 7).astype(np.uint8) & 1)
-            if len(rows):
-                found = [shingles(batch.column(1)[int(k)].as_py() or "", words).tobytes() for k in rows]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(found, pa.binary())], names=["id", "s"])
+            found = [h for k in rows if len(h := shingles(batch.column(0)[int(k)].as_py() or "", words))]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], names=["id", "s"])
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"), bit_of(F.col("doc_id").cast("long")).alias("place")).where("id is not null")
-    known = ids.mapInArrow(sets, "id long, s binary")
+    texts = docs.where("doc_id is not null").select(F.col("text").cast("string"), bit_of(F.col("doc_id").cast("long")).alias("place"))
+    known = texts.mapInArrow(sets, "id long, s binary")
     # a leader's set goes once to each group of FANOUT members
     groups = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / FANOUT).cast("int").alias("groups"))
     tasks = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"))
@@ -263,21 +304,17 @@ def _similar(docs: DataFrame, pairs: DataFrame, words: int, like: Likeness) -> D
     heads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g")).join(known, F.col("a") == F.col("id")).select("a", "g", F.lit(None).cast("long").alias("b"), "s")
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, whole = None, []
+        key, whole = None, np.zeros(1, np.int64)
         for batch in batches:
             out = []
             for a, g, b, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 s = np.frombuffer(s.as_py(), np.int64)
                 if b is None:
-                    key, whole = (a, g), ([*whole, s] if key == (a, g) else [s])  # rows of an equal doc_id
+                    key, whole = (a, g), s
                     continue
-                for w in whole:
-                    if not len(w) or not len(s):
-                        continue
-                    both = int((w[np.minimum(np.searchsorted(w, s), len(w) - 1)] == s).sum())
-                    if like.den * both >= like.num * (len(w) + len(s) - both):
-                        out.append((a, b))
-                        break
+                both = int((whole[np.minimum(np.searchsorted(whole, s), len(whole) - 1)] == s).sum())
+                if key == (a, g) and like.den * both >= like.num * (len(whole) + len(s) - both):
+                    out.append((a, b))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
@@ -289,24 +326,25 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
     like = Likeness(num, den)
     rows = cut(_prefixes(docs, words, like, _common(docs, words)))
     # equal sets are one node
-    nodes = rows.where("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "n", "n_index", "prefix", "sketch")).alias("m")).select("key", "m.*")
-    nodes = cut(nodes.withColumnRenamed("doc_id", "doc"))
-    spread = nodes.select("doc", "n", "n_index", F.posexplode("prefix").alias("p", "s")).select("s", "doc", "n", "p", (F.col("p") < F.col("n_index")).alias("i"))
-    lists = cut(_shared(spread))
-    sketched = lists.join(nodes.select("doc", "sketch").dropDuplicates(["doc"]), "doc")
-    links = cut(_similar(docs, _to_leaders(sketched, like), words, like))
+    nodes = cut(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")))
+    sketches = rows.where("n > 0").groupBy(F.col("node").alias("doc")).agg(F.min("sketch").alias("sketch"))
+    lists = cut(_shared(_postings(rows, nodes)))
+    links = cut(_similar(docs, nodes, _to_leaders(lists.join(sketches, "doc"), like), words, like))
     roots = components(links)
-    rooted = lists.join(roots.select(F.col("id").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    rooted = cut(rooted)
-    mixed = rooted.groupBy("s").agg(F.count("*").alias("m"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2 and m > 2")
-    mixed = mixed.select("s", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rooted = cut(lists.join(roots.select(F.col("id").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc")))
+    mixed = rooted.groupBy("s").agg(F.count("*").alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2 and n > 2")
+    mixed = mixed.select("s", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = rooted.join(mixed, "s").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("blocks", "other")
-    dealt = dealt.join(nodes.select("doc", "sketch").dropDuplicates(["doc"]), "doc")
-    more = cut(_similar(docs, _across(dealt, like), words, like))
-    roots = components(links.union(more))
-    found = rows.select("doc_id", "n", "key").join(nodes.select("key", "doc"), "key", "left").join(roots, F.col("doc") == F.col("id"), "left")
-    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "doc", "doc_id").alias("component_id"))
+    more = cut(_similar(docs, nodes, _across(dealt.join(sketches, "doc"), like), words, like))
+    # rows of an equal doc_id are one
+    several = rows.where("n > 0").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
+    same = rows.where("n > 0").join(several, "doc_id").select("a", F.col("node").alias("b"))
+    roots = components(links.union(more).union(same))
+    rooted = nodes.join(roots, F.col("node") == F.col("id"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component"))
+    found = rows.select("doc_id", "n", "node").join(rooted.join(least, "root").select("node", "component"), "node", "left")
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
