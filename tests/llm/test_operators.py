@@ -402,3 +402,8 @@ def test_bitmap_holds_all_ids(spark):
     bits = np.frombuffer(common.id_bitmap(ids, "id"), np.uint8)
     place = np.array([r.p for r in ids.select(common.bit_of("id").alias("p")).collect()]) - 1
     assert (bits[place >> 3] >> (place & 7) & 1).all() and np.unpackbits(bits).sum() <= ids.count()
+
+
+def test_names_of_noise():
+    page = '<article class="post long-form comment-enabled"><p>kept</p><div class="notices">x</div><div class="top-ads">x</div><div class="long-form">kept</div></article><article class="comment">x</article>'
+    assert style_tree.extract(page, {}) == "kept\n\nkept"

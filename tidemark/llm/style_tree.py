@@ -30,10 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import cut, table
 
 #: The importance below which a branch goes; hosts with fewer pages have no entropy; entries that a task sums before it hands them on.
 LEAST, MIN_PAGES, SUMMED = 0.4, 3, 200_000
+#: So many paths of low entropy are broadcast (a few MB); more of them meet the pages in a shuffled join.
+BROADCAST_PATHS = 100_000
 # Elements and names by what they hold.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,6 +45,8 @@ NOISE_NAMES = frozenset("""ad ads adv advert adverts advertisement advertising a
 navigation breadcrumb breadcrumbs topbar toolbar footer masthead cookie cookies consent gdpr notice notification alert popup modal overlay paywall comment
 comments commentlist disqus respond reply replies discussion share sharing social related recommended recommendations newsletter subscribe subscription signup
 login search searchbox form pagination pager widget skip tags tagcloud""".split())
+# Of those, the ones that mean noise only as a whole name ("long-form" isn't a form).
+WHOLE_NAMES = frozenset("form side skip search tags share widget alert overlay reply related modal".split())
 MAIN_NAMES = frozenset(["main", "main-content", "article-body", "post-content", "entry-content", "article-content", "story-body"])
 # What an open element's end may be left out before.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -61,8 +65,10 @@ class Node:
         self.names = found
         self.sign = xxhash.xxh3_64_intdigest(" ".join([tag, *found]))
         self.path = hash((above.path, self.sign)) if above else self.sign
-        words = {w for name in found for w in [name, *_NAME.findall(name)]}
-        noise = tag in NOISE_TAGS or bool(words & NOISE_NAMES) and tag not in ("html", "body", "main")
+        # names in the singular too; of an article only whole names count
+        words = {w for name in found for w in (name, name.removesuffix("s"))}
+        parts = set() if tag == "article" else {w for name in found for p in _NAME.findall(name) for w in (p, p.removesuffix("s"))} - WHOLE_NAMES
+        noise = tag in NOISE_TAGS or bool((words | parts) & NOISE_NAMES) and tag not in ("html", "body", "main")
         main = tag in ("article", "main") or bool(set(found) & MAIN_NAMES)
         if tag == "header":  # of the article, or of the page
             noise = noise or not (above and above.main)
@@ -202,7 +208,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every row of pages (page_id, url, html)."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), _host(F.col("url").cast("string")).alias("host"))
     # only a path whose entropy can bring a neutral branch under LEAST matters
-    low = style_tree(rows).where(F.col("entropy") < 2 * LEAST / 0.6 - 1).groupBy("host").agg(F.collect_list(F.struct("path", "entropy")).alias("low"))
+    paths = cut(style_tree(rows).where(F.col("entropy") < 2 * LEAST / 0.6 - 1))
+    low = paths.groupBy("host").agg(F.collect_list(F.struct("path", "entropy")).alias("low"))
+    if paths.count() <= BROADCAST_PATHS:
+        low = F.broadcast(low)
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
