@@ -35,6 +35,8 @@ from tidemark.llm.common import bit_of, components, cut, id_bitmap, table
 #: members that are checked against one leader at once.
 COMMON, COUNTED, BLOCK, FANOUT = 1 << 18, 1 << 21, 1024, 128
 BUCKETS = 64
+#: So many pairs are broadcast to the sets (some 16 MB); more of them meet the sets in a shuffled join.
+BROADCAST_PAIRS = 400_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -222,12 +224,22 @@ def _to_leaders(postings: DataFrame, like: Likeness) -> DataFrame:
             f = first[k]
             k, f = (x[like.possible(n[k], p[k], i[k], n[f], p[f], i[f]) & (doc[k] != doc[f])] for x in (k, f))
             if len(k):
-                sk = _sketches(batch, "sketch")
-                good = _bounded(sk[k], sk[f]) >= like.overlap(n[k] + n[f])
-                if good.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[f[good]]), pa.array(doc[k[good]])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[f]), pa.array(doc[k]), pa.array(n[f]), pa.array(n[k])], names=["a", "b", "na", "nb"])
 
-    return postings.repartition("s").sortWithinPartitions("s", "m", "doc").mapInArrow(stream, "a long, b long").distinct()
+    return postings.repartition("s").sortWithinPartitions("s", "m", "doc").mapInArrow(stream, "a long, b long, na long, nb long").distinct()
+
+
+def _plausible(pairs: DataFrame, sketches: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs (a, b, na, nb) whose counts in buckets let them be similar."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                good = _bounded(_sketches(batch, "sa"), _sketches(batch, "sb")) >= like.overlap(_column(batch, "na") + _column(batch, "nb"))
+                yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    both = pairs.join(sketches.select(F.col("doc").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("doc").alias("b"), F.col("sketch").alias("sb")), "b")
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bounded, "a long, b long")
 
 
 def _across(postings: DataFrame, like: Likeness) -> DataFrame:
@@ -300,8 +312,10 @@ def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, li
     # a leader's set goes once to each group of FANOUT members
     groups = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / FANOUT).cast("int").alias("groups"))
     tasks = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"))
-    members = tasks.join(known, F.col("b") == F.col("id")).select("a", "g", "b", "s")
-    heads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g")).join(known, F.col("a") == F.col("id")).select("a", "g", F.lit(None).cast("long").alias("b"), "s")
+    heads = groups.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(None).cast("long").alias("b"))
+    wants = tasks.select(F.col("b").alias("id"), "a", "g", "b").union(heads)
+    # few enough pairs go to the sets; of more the sets go to the pairs
+    sent = known.join(F.broadcast(wants) if pairs.count() <= BROADCAST_PAIRS else wants, "id").select("a", "g", "b", "s")
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, whole = None, np.zeros(1, np.int64)
@@ -318,7 +332,7 @@ def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, li
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    return members.unionByName(heads).repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first()).mapInArrow(probed, "a long, b long")
+    return sent.repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first()).mapInArrow(probed, "a long, b long")
 
 
 def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -329,7 +343,7 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
     nodes = cut(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")))
     sketches = rows.where("n > 0").groupBy(F.col("node").alias("doc")).agg(F.min("sketch").alias("sketch"))
     lists = cut(_shared(_postings(rows, nodes)))
-    links = cut(_similar(docs, nodes, _to_leaders(lists.join(sketches, "doc"), like), words, like))
+    links = cut(_similar(docs, nodes, _plausible(_to_leaders(lists, like), sketches, like), words, like))
     roots = components(links)
     rooted = cut(lists.join(roots.select(F.col("id").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc")))
     mixed = rooted.groupBy("s").agg(F.count("*").alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2 and n > 2")
