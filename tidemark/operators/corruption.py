@@ -22,18 +22,26 @@ def top_grams(rows: DataFrame, keys: tuple[str, ...], text: str = "text", thresh
 
 
 def covered(rows: DataFrame, keys: tuple[str, ...], text: str = "text", threshold: float = 0.4) -> DataFrame:
-    """keys, covered: functions.text.loop_coverage for texts of any length, by counting n-grams (overlaps included) first.
+    """keys, covered: functions.text.loop_coverage for texts of any length, in one pass over each text's sorted n-grams.
 
-    An n-gram that recurs without overlaps recurs with them, so only those are counted again without.
+    Equal n-grams stand together, in the order of their places, so the places without overlaps are counted on the way.
     """
-    t = rows.select(*keys, F.col(text).alias("_t")).where(F.length("_t") >= 8)
-    n = F.explode(F.array(F.lit(2), F.lit(3), F.lit(4)))
-    grams = t.withColumn("n", n).select(*keys, "n", F.length("_t").alias("len"), F.explode(F.transform(F.sequence(F.lit(1), F.length("_t") - F.col("n") + 1), lambda i: F.struct(i.alias("at"), F.col("_t").substr(i, F.col("n")).alias("g")))).alias("x"))
-    places = grams.groupBy(*keys, "n", "len", F.col("x.g").alias("g")).agg(F.count("*").alias("c"), F.sort_array(F.collect_list("x.at")).alias("at")).where((F.col("c") >= 2) & (F.col("c") * F.col("n") / F.col("len") > threshold))
-    start = F.struct(F.lit(0).cast("int").alias("free"), F.lit(0).cast("int").alias("k"))
-    apart = F.aggregate("at", start, lambda acc, i: F.when(i >= acc["free"], F.struct((i + F.col("n")).cast("int").alias("free"), (acc["k"] + 1).alias("k"))).otherwise(acc), lambda acc: acc["k"])
-    hit = places.withColumn("k", apart).where((F.col("k") >= 2) & (F.col("k") * F.col("n") / F.col("len") > threshold)).select(*keys).distinct().withColumn("covered", F.lit(True))
-    return rows.select(*keys).join(hit, list(keys), "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+    t = F.col(text)
+
+    def most(n: int):  # noqa: ANN202
+        grams = F.sort_array(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.struct(t.substr(i, F.lit(n)).alias("g"), i.alias("at"))))
+        start = F.struct(F.lit("").alias("g"), F.lit(0).alias("free"), F.lit(0).alias("k"), F.lit(0).alias("most"))
+
+        def step(acc, x):  # noqa: ANN001, ANN202
+            overlaps = (acc["g"] == x["g"]) & (x["at"] < acc["free"])
+            k = F.when(overlaps, acc["k"]).when(acc["g"] == x["g"], acc["k"] + 1).otherwise(1)
+            return F.struct(x["g"].alias("g"), F.when(overlaps, acc["free"]).otherwise(x["at"] + n).alias("free"), k.alias("k"), F.greatest(acc["most"], k).alias("most"))
+
+        return F.aggregate(grams, start, step, lambda acc: acc["most"])
+
+    found = [F.struct(most(n).alias("k"), F.lit(n).alias("n")) for n in (2, 3, 4)]
+    hit = F.exists(F.array(*found), lambda x: (x["k"] >= 2) & (x["k"] * x["n"] / F.length(t) > threshold))
+    return rows.select(*keys, F.coalesce(F.when(F.length(t) >= 8, hit), F.lit(False)).alias("covered"))
 
 
 def repeats(rows: DataFrame, least: int, keys: tuple[str, ...] = ("stream",), order: tuple[str, ...] = ("pos",), text: str = "text", longer: int = 0) -> DataFrame:

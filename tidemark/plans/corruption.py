@@ -27,7 +27,7 @@ g as (select stream, pos, t, n, substring(t, i, n) as g from (select *, unnest(r
 k as (select distinct stream, pos, n, length(t) as len, g, (length(t) - length(replace(t, g, ''))) // length(g) as c from g)
 select t.stream, t.pos, coalesce(bool_or(k.c >= 2 and k.c * k.n / k.len > 0.15), false) as covered from t left join k using (stream, pos) group by 1, 2""")
 def loop_coverage(spark, sf):
-    return ops.covered(views.items(spark, sf).withColumn("text", F.substring("text", 1, 120)), ("stream", "pos"), threshold=0.15)
+    return ops.covered(views.items(spark, sf), ("stream", "pos"), threshold=0.15)
 
 
 @query(f"""with {SQL_CHAT}, f as (select *, case when kind = lag(kind) over (partition by stream order by sec, seq) then 0 else 1 end as new from chat),
