@@ -21,3 +21,11 @@ def test_loop_coverage_reads_whole_texts(spark, tmp_path):
     got = {r.pos: r.covered for r in registry.QUERIES["loop_coverage"](spark, sf).collect()}
     assert got == {k: loops(t or "", 0.15) for k, t in enumerate(texts)}
     assert got[0] and not got[1] and loops(texts[1][:120], 0.15) and not loops(texts[0][:120], 0.15)
+
+
+def test_keyword_coherence_compares_every_line(spark, tmp_path):
+    alike = ["red green blue"] * 5
+    rows = [(1, [*alike, "other words here"]), (2, [*alike, "red green grey"]), (3, alike[:2]), (4, alike[:1])]
+    sf = tables(spark, tmp_path, documents=([(i, "\n".join(x)) for i, x in rows], "doc_id long, text string"))
+    got = {r.doc: (r.min_overlap, r.flagged) for r in registry.QUERIES["keyword_coherence"](spark, sf).collect()}
+    assert got == {1: (0.0, True), 2: (0.5, False), 3: (1.0, False)}

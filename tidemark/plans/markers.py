@@ -132,7 +132,7 @@ f as (select doc, pos, t, first_value(t) over (partition by doc order by pos) as
 o as (select doc, min(case when k > 1 then case when len(t) = 0 or len(t0) = 0 then 0 else len(list_intersect(t, t0)) / len(list_distinct(list_concat(t, t0))) end end) as o, count(*) as n from f group by doc)
 select doc, round(o, 4) as min_overlap, o < 0.1 and n >= 3 as flagged from o where n > 1""")
 def keyword_coherence(spark, sf):
-    return ops.keyword_coherence(views.lines(spark, sf).where("pos < 5").select("doc", "pos", F.col("line").alias("desc")), ("doc",), ("pos",))
+    return ops.keyword_coherence(views.lines(spark, sf).select("doc", "pos", F.col("line").alias("desc")), ("doc",), ("pos",))
 
 
 @query(f"""with recursive {SQL_PARTS}, f as (select stream, part, macro = lag(macro, 2) over w and macro <> lag(macro) over w as flip from parts window w as (partition by stream, part order by sec, seq))
