@@ -8,8 +8,11 @@ the presentation's names say: 0 for navigation, footers, asides, forms, scripts,
 article or main element, 0.3 outside of one on a page that has one, 0.6 elsewhere. Entropy alone can't do it: menus, adverts and
 footers often differ on every page of a host, as the article does.
 
-Statistics are sums by host, path and value, made in two steps with partial sums on each task, so a host with a third of all pages
-stays spread out. Only the paths of low entropy go back to a host's pages.
+Only distinct pages count: of a host's pages whose texts are equal before any entropy counts, one is taken, so copies bring no
+entropy down. The page itself, html and body are never removed.
+
+Copies meet by host and text, then sums are made by host, path and value, both with partial results on each task, so a host with a
+third of all pages stays spread out. Only the paths of low entropy go back to a host's pages.
 
 The text: character references are decoded, white space inside a block becomes one space, blocks are trimmed, and the ones that
 aren't empty are joined by a blank line. A line break (br) is white space.
@@ -32,14 +35,18 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, table
 
-#: The importance below which a branch goes; hosts with fewer pages have no entropy; entries that a task sums before it hands them on.
-LEAST, MIN_PAGES, SUMMED = 0.4, 3, 200_000
+#: The importance below which a branch goes; branches on fewer distinct pages have no entropy.
+LEAST, MIN_PAGES = 0.4, 3
+#: What a page hands on for each value of a path.
+COUNTS = pa.list_(pa.struct([("path", pa.int64()), ("kind", pa.int32()), ("value", pa.int64()), ("n", pa.int64()), ("first", pa.int64())]))
 #: So many paths of low entropy are broadcast (a few MB); more of them meet the pages in a shuffled join.
 BROADCAST_PATHS = 100_000
 # Elements and names by what they hold.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template noembed noframes xmp select svg math object canvas audio video".split())
+# What holds a whole page is never removed.
+FRAME = frozenset(["#page", "html", "body"])
 NOISE_TAGS = frozenset("head script style nav footer aside form button input select textarea dialog menu noscript template iframe".split())
 NOISE_NAMES = frozenset("""ad ads adv advert adverts advertisement advertising adsbygoogle banner sponsor sponsored promo promotion sidebar side menu nav navbar
 navigation breadcrumb breadcrumbs topbar toolbar footer masthead cookie cookies consent gdpr notice notification alert popup modal overlay paywall comment
@@ -126,19 +133,24 @@ def parse(page: str) -> list[Node]:
 
 
 def statistics(nodes: list[Node]) -> Iterator[tuple[int, int, int]]:
-    """path, kind (0: presentation, 1: content), value of every element that holds text."""
+    """path, kind (0: presentation, 1: content), value of every element that holds text, without the page's frame and noise."""
     content: dict[int, int] = {}
     for node in reversed(nodes):
         parts = [content.get(id(c), 0) if isinstance(c, Node) else xxhash.xxh3_64_intdigest(t) if (t := c.strip()) else 0 for c in node.children]
         if any(parts):
             content[id(node)] = hash(tuple(parts))
+            if node.prior == 0 or node.tag in FRAME:
+                continue
             yield node.path, 0, hash(tuple(c.sign for c in node.children if isinstance(c, Node)))
             yield node.path, 1, content[id(node)]
 
 
 def extract(page: str, low: dict[int, float]) -> str:
     """The page's main text; low: the entropies of paths where they are low."""
-    nodes = parse(page)
+    return text_of(parse(page), low)
+
+
+def text_of(nodes: list[Node], low: dict[int, float]) -> str:
     has_main = any(x.main for x in nodes)
     blocks: list[str] = []
     here: list[str] = []
@@ -161,7 +173,8 @@ def extract(page: str, low: dict[int, float]) -> str:
             holds = prior == 0.3 and any(isinstance(c, Node) for c in x.children)
             if x.tag == "br":
                 here.append(" ")
-            if x.tag in RAW or prior * (1 + low.get(x.path, 1.0)) / 2 < LEAST and not holds:
+            alike = x.tag not in FRAME and prior * (1 + low.get(x.path, 1.0)) / 2 < LEAST
+            if x.tag in RAW or alike and not holds:
                 if x.tag in BLOCKS:
                     flush()
                 continue
@@ -179,29 +192,27 @@ def _host(url):  # noqa: ANN001, ANN202
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, entropy of every node of the hosts' merged trees with MIN_PAGES elements or more; pages: host, html."""
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def hand_on() -> pa.RecordBatch:
-            columns = list(zip(*sums, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(columns[0]), *(pa.array(c, t) for c, t in zip(columns[1:], (pa.int64(), pa.int32(), pa.int64()), strict=True)), pa.array(sums.values(), pa.int64())], names=["host", "path", "kind", "value", "n"])
+    """host, path, entropy of every node of the hosts' merged trees that stands on MIN_PAGES distinct pages; pages: host, html.
 
-        signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
-        sums: Counter = Counter()
+    Pages of a host are copies if their texts are equal before any entropy counts; of copies one is counted.
+    """
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for path, kind, value in statistics(parse(page.as_py() or "")):
-                    sums[host, signed(path), kind, signed(value)] += 1
-                if len(sums) >= SUMMED:
-                    yield hand_on()
-                    sums.clear()
-        if sums:
-            yield hand_on()
-
-    counts = pages.select("host", "html").mapInArrow(summed, "host string, path long, kind int, value long, n long").groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
-    kinds = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+            copies, values = [], []
+            for page in batch.column(1):
+                nodes = parse(page.as_py() or "")
+                copies.append(xxhash.xxh3_128_digest(text_of(nodes, {}).encode("utf-8", "surrogatepass")))
+                sums, seen = Counter(statistics(nodes)), set()
+                # of a path's rows one has first = 1, so that their sum over the pages is the number of pages
+                values.append([{"path": path, "kind": kind, "value": value, "n": n, "first": int((path, kind) not in seen and not seen.add((path, kind)))} for (path, kind, value), n in sorted(sums.items())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(copies, pa.binary()), pa.array(values, COUNTS)], names=["host", "copy", "counts"])
+
+    found = pages.select("host", "html").mapInArrow(counted, "host string, copy binary, counts array<struct<path:bigint,kind:int,value:bigint,n:bigint,first:bigint>>")
+    one = found.groupBy("host", "copy").agg(F.min("counts").alias("counts"))
+    counts = one.select("host", F.explode("counts").alias("c")).groupBy("host", "c.path", "c.kind", "c.value").agg(F.sum("c.n").alias("n"), F.sum("c.first").alias("pages"))
+    kinds = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("all"), F.sum("pages").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     share = F.when(F.col("all") > 1, 1 - F.col("nlogn") / (F.col("all") * F.log("all"))).otherwise(1.0)
-    return kinds.where(F.col("all") >= MIN_PAGES).groupBy("host", "path").agg(F.avg(share).alias("entropy"))
+    return kinds.where(F.col("pages") >= MIN_PAGES).groupBy("host", "path").agg(F.avg(share).alias("entropy"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
