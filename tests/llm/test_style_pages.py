@@ -24,3 +24,13 @@ def test_alike_blocks_go_among_distinct_pages(spark):
     assert texts(spark, [page.format(words(k // 2)) for k in range(6)]) == [words(k // 2) for k in range(6)]
     lists = "<body><div class=a><b>same</b></div><div class=a><b>same</b></div><div class=a><b>same</b></div></body>"
     assert texts(spark, [lists]) == ["same\n\nsame\n\nsame"]
+
+
+def test_alike_blocks_in_articles_go(spark):
+    page = "<body><article><h1>Title {0}</h1><div class=intro>Subscribe <b>now</b></div><p>{1} <b>Note</b></p><div class=bio><p>By the staff</p></div></article></body>"
+    assert texts(spark, [page.format(k, words(k)) for k in range(5)]) == [f"Title {k}\n\n{words(k)} Note" for k in range(5)]
+    # copies and hosts of two pages bring nothing down, and a unique block on a path of alike ones stays
+    assert texts(spark, [page.format(0, words(0))] * 9) == [f"Title 0\n\nSubscribe now\n\n{words(0)} Note\n\nBy the staff"] * 9
+    last = page.format(9, words(9)).replace("By the staff", "By a guest")
+    got = texts(spark, [page.format(k, words(k)) for k in range(9)] + [last])
+    assert got[0] == f"Title 0\n\n{words(0)} Note" and got[9] == f"Title 9\n\n{words(9)} Note\n\nBy a guest"

@@ -8,6 +8,9 @@ the presentation's names say: 0 for navigation, footers, asides, forms, scripts,
 article or main element, 0.3 outside of one on a page that has one, 0.6 elsewhere. Entropy alone can't do it: menus, adverts and
 footers often differ on every page of a host, as the article does.
 
+In an article or main element a block's importance is its content entropy instead, as its prior would keep it whatever its entropy:
+where a path is nearly alike on a host's pages, the contents that recur there go (a notice, an author's box), unique ones stay.
+
 Only distinct pages count: of a host's pages whose texts are equal before any entropy counts, one is taken, so copies bring no
 entropy down. The page itself, html and body are never removed.
 
@@ -132,25 +135,36 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
-def statistics(nodes: list[Node]) -> Iterator[tuple[int, int, int]]:
-    """path, kind (0: presentation, 1: content), value of every element that holds text, without the page's frame and noise."""
-    content: dict[int, int] = {}
+def contents(nodes: list[Node]) -> dict[int, int]:
+    """By id(): the hash of the text below every element that holds text."""
+    out: dict[int, int] = {}
     for node in reversed(nodes):
-        parts = [content.get(id(c), 0) if isinstance(c, Node) else xxhash.xxh3_64_intdigest(t) if (t := c.strip()) else 0 for c in node.children]
+        parts = [out.get(id(c), 0) if isinstance(c, Node) else xxhash.xxh3_64_intdigest(t) if (t := c.strip()) else 0 for c in node.children]
         if any(parts):
-            content[id(node)] = hash(tuple(parts))
-            if node.prior == 0 or node.tag in FRAME:
-                continue
+            out[id(node)] = hash(tuple(parts))
+    return out
+
+
+def statistics(nodes: list[Node]) -> Iterator[tuple[int, int, int]]:
+    """path, kind (0: presentation, 1: content, 2: content in an article), value of every element that holds text, without the page's frame and noise."""
+    content = contents(nodes)
+    for node in nodes:
+        if id(node) not in content or node.prior == 0 or node.tag in FRAME:
+            continue
+        if not node.main:
             yield node.path, 0, hash(tuple(c.sign for c in node.children if isinstance(c, Node)))
             yield node.path, 1, content[id(node)]
+        elif node.tag in BLOCKS:
+            yield node.path, 2, content[id(node)]
 
 
-def extract(page: str, low: dict[int, float]) -> str:
-    """The page's main text; low: the entropies of paths where they are low."""
-    return text_of(parse(page), low)
+def extract(page: str, low: dict[int, float], alike: dict[int, list[int]] | None = None) -> str:
+    """The page's main text; low: the entropies of paths where they are low; alike: the contents that recur on those in articles."""
+    return text_of(parse(page), low, alike or {})
 
 
-def text_of(nodes: list[Node], low: dict[int, float]) -> str:
+def text_of(nodes: list[Node], low: dict[int, float], alike: dict[int, list[int]]) -> str:
+    content = contents(nodes) if alike else {}
     has_main = any(x.main for x in nodes)
     blocks: list[str] = []
     here: list[str] = []
@@ -173,8 +187,11 @@ def text_of(nodes: list[Node], low: dict[int, float]) -> str:
             holds = prior == 0.3 and any(isinstance(c, Node) for c in x.children)
             if x.tag == "br":
                 here.append(" ")
-            alike = x.tag not in FRAME and prior * (1 + low.get(x.path, 1.0)) / 2 < LEAST
-            if x.tag in RAW or alike and not holds:
+            if x.main:  # a block goes if what stands here is alike, and this content is what recurs
+                goes = x.tag in BLOCKS and x.path in alike and prior * low[x.path] < LEAST and content.get(id(x)) in alike[x.path]
+            else:
+                goes = x.tag not in FRAME and prior * (1 + low.get(x.path, 1.0)) / 2 < LEAST and not holds
+            if x.tag in RAW or goes:
                 if x.tag in BLOCKS:
                     flush()
                 continue
@@ -192,16 +209,16 @@ def _host(url):  # noqa: ANN001, ANN202
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, entropy of every node of the hosts' merged trees that stands on MIN_PAGES distinct pages; pages: host, html.
+    """host, path, entropy, alike of every node of the hosts' merged trees that stands on MIN_PAGES distinct pages; pages: host, html.
 
-    Pages of a host are copies if their texts are equal before any entropy counts; of copies one is counted.
+    alike: in an article, the contents that stand on MIN_PAGES distinct pages each; else null. Pages of a host are copies if their texts are equal before any entropy counts; of copies one is counted.
     """
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             copies, values = [], []
             for page in batch.column(1):
                 nodes = parse(page.as_py() or "")
-                copies.append(xxhash.xxh3_128_digest(text_of(nodes, {}).encode("utf-8", "surrogatepass")))
+                copies.append(xxhash.xxh3_128_digest(text_of(nodes, {}, {}).encode("utf-8", "surrogatepass")))
                 sums, seen = Counter(statistics(nodes)), set()
                 # of a path's rows one has first = 1, so that their sum over the pages is the number of pages
                 values.append([{"path": path, "kind": kind, "value": value, "n": n, "first": int((path, kind) not in seen and not seen.add((path, kind)))} for (path, kind, value), n in sorted(sums.items())])
@@ -209,18 +226,18 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     found = pages.select("host", "html").mapInArrow(counted, "host string, copy binary, counts array<struct<path:bigint,kind:int,value:bigint,n:bigint,first:bigint>>")
     one = found.groupBy("host", "copy").agg(F.min("counts").alias("counts"))
-    counts = one.select("host", F.explode("counts").alias("c")).groupBy("host", "c.path", "c.kind", "c.value").agg(F.sum("c.n").alias("n"), F.sum("c.first").alias("pages"))
-    kinds = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("all"), F.sum("pages").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    counts = one.select("host", F.explode("counts").alias("c")).groupBy("host", "c.path", "c.kind", "c.value").agg(F.sum("c.n").alias("n"), F.sum("c.first").alias("pages"), F.count("*").alias("on"))
+    kinds = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("all"), F.sum("pages").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.collect_list(F.when((F.col("kind") == 2) & (F.col("on") >= MIN_PAGES), F.col("value"))).alias("alike"))
     share = F.when(F.col("all") > 1, 1 - F.col("nlogn") / (F.col("all") * F.log("all"))).otherwise(1.0)
-    return kinds.where(F.col("pages") >= MIN_PAGES).groupBy("host", "path").agg(F.avg(share).alias("entropy"))
+    return kinds.where(F.col("pages") >= MIN_PAGES).groupBy("host", "path").agg(F.avg(share).alias("entropy"), F.max(F.when(F.col("kind") == 2, F.col("alike"))).alias("alike"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every row of pages (page_id, url, html)."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), _host(F.col("url").cast("string")).alias("host"))
-    # only a path whose entropy can bring a neutral branch under LEAST matters
-    paths = cut(style_tree(rows).where(F.col("entropy") < 2 * LEAST / 0.6 - 1))
-    low = paths.groupBy("host").agg(F.collect_list(F.struct("path", "entropy")).alias("low"))
+    # only a path whose entropy can bring a neutral branch, or a block in an article, under LEAST matters
+    paths = cut(style_tree(rows).where(F.col("entropy") < F.when(F.col("alike").isNull(), 2 * LEAST / 0.6 - 1).otherwise(LEAST)))
+    low = paths.groupBy("host").agg(F.collect_list(F.struct("path", "entropy", "alike")).alias("low"))
     if paths.count() <= BROADCAST_PATHS:
         low = F.broadcast(low)
 
@@ -228,8 +245,8 @@ def main_text(pages: DataFrame) -> DataFrame:
         for batch in batches:
             texts = []
             for page, low in zip(batch.column(2), batch.column(3), strict=True):
-                known = {x["path"]: x["entropy"] for x in low.as_py() or ()} if low.is_valid else {}
-                texts.append(extract(page.as_py(), known))
+                known = low.as_py() or () if low.is_valid else ()
+                texts.append(extract(page.as_py(), {x["path"]: x["entropy"] for x in known}, {x["path"]: x["alike"] for x in known if x["alike"]}))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return rows.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(extracted, "page_id long, url string, text string")
