@@ -29,3 +29,10 @@ def test_keyword_coherence_compares_every_line(spark, tmp_path):
     sf = tables(spark, tmp_path, documents=([(i, "\n".join(x)) for i, x in rows], "doc_id long, text string"))
     got = {r.doc: (r.min_overlap, r.flagged) for r in registry.QUERIES["keyword_coherence"](spark, sf).collect()}
     assert got == {1: (0.0, True), 2: (0.5, False), 3: (1.0, False)}
+
+
+def test_retag_rules_reads_every_line(spark, tmp_path):
+    rows = [(1, "nothing\nthe BOSS is here\nthe end\nlicense gnu\nreleased"), (2, "die Mehrheit"), (3, None)]
+    sf = tables(spark, tmp_path, documents=(rows, "doc_id long, text string"))
+    got = {(r.doc, r.pos): r.new_tag for r in registry.QUERIES["retag_rules"](spark, sf).collect()}
+    assert got == {(1, 0): None, (1, 1): "[Boss]", (1, 2): None, (1, 3): None, (1, 4): "[News]", (2, 0): "[Boss]"}

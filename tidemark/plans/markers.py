@@ -32,8 +32,7 @@ def _packed(spark, sf):
 b as (select doc_id, line, case when regexp_matches(lower(line), 'boss|heit') then '[Boss]' when regexp_matches(lower(line), 'license|released') then '[News]' when regexp_matches(lower(line), 'ción|que') then '[Story]' when regexp_matches(lower(line), 'the') then '[Talk]' end as best from l)
 select doc_id, case when best = '[News]' and regexp_matches(lower(line), 'license.*gnu') then null when best <> '[Talk]' then best end as new_tag from b""")
 def retag_rules(spark, sf):
-    line = F.get(F.split("text", "\n"), F.lit(0))
-    return views.read(spark, sf, "documents").select("doc_id", ops.retag(line, F.lit("[Talk]"), RULES, VETOES).alias("new_tag"))
+    return views.lines(spark, sf).select("doc", "pos", ops.retag(F.col("line"), F.lit("[Talk]"), RULES, VETOES).alias("new_tag"))
 
 
 @query(f"""with {SQL_MARKERS}, c as (select stream, sec, seq, case when macro = lead(macro) over w then macro end as sure, macro, first_value(macro) over w as f from markers window w as (partition by stream order by sec, seq)),
