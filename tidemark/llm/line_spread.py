@@ -1,8 +1,9 @@
 r"""Lines that spread over sites are boilerplate and go.
 
 A line's key is a 128-bit hash of its trimmed text. For each key two HyperLogLog sketches merge by aggregation: of the sites
-(`source`) and of the contexts (the lines before and after) that it stands in. A line is boilerplate if both count `min_sites`
-or more: copies of a whole document spread a line over sites, but not over contexts, so a copied document keeps its text. Where
+(`source`) and of the different whole texts that it stands in. A line is boilerplate if both count `min_sites` or more: copies
+of a whole document spread a line over sites, but are one text, so a copied document keeps its lines. What stands around a line
+doesn't matter, so the lines of a fixed block go as others do. Where
 an estimate lies within its error (three standard errors) of the threshold, the line gets exact distinct counts instead. Only
 DataFrame functions are used.
 
@@ -34,21 +35,20 @@ def _document(docs: DataFrame):  # noqa: ANN202
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc, site, a, b (the key), context of every line that isn't empty."""
-    keys = docs.select(_document(docs).alias("doc"), F.coalesce(docs["source"].cast("string"), F.lit("")).alias("site"), F.transform(F.split(docs["text"].cast("string"), "\n"), _key).alias("k"))
-    near = lambda i: F.coalesce(F.get("k", i)["a"], F.lit(0))
-    rows = keys.select("doc", "site", F.explode(F.transform("k", lambda x, i: F.struct(x.alias("k"), F.xxhash64(near(i - 1), near(i + 1)).alias("context")))).alias("x"))
-    return rows.where("not x.k.empty").select("doc", "site", F.col("x.k.a").alias("a"), F.col("x.k.b").alias("b"), F.col("x.context").alias("context"))
+    """doc, site, a, b (the key), whole (a hash of the text) of every line that isn't empty."""
+    text = docs["text"].cast("string")
+    keys = docs.select(_document(docs).alias("doc"), F.coalesce(docs["source"].cast("string"), F.lit("")).alias("site"), F.xxhash64(text).alias("whole"), F.explode(F.transform(F.split(text, "\n"), _key)).alias("k"))
+    return keys.where("not k.empty").select("doc", "site", F.col("k.a").alias("a"), F.col("k.b").alias("b"), "whole")
 
 
 def boilerplate(all_lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """The keys (a, b) of lines that stand on min_sites sites and in as many contexts."""
+    """The keys (a, b) of lines that stand on min_sites sites and in as many different texts."""
     error = 3 * 1.04 / 2 ** (lg_k / 2)
-    sketches = all_lines.groupBy("a", "b").agg(F.count("*").alias("n"), F.hll_sketch_agg("site", lg_k).alias("s"), F.hll_sketch_agg("context", lg_k).alias("c"))
+    sketches = all_lines.groupBy("a", "b").agg(F.count("*").alias("n"), F.hll_sketch_agg("site", lg_k).alias("s"), F.hll_sketch_agg("whole", lg_k).alias("c"))
     spread = sketches.where(F.col("n") >= min_sites).select("a", "b", F.least(F.hll_sketch_estimate("s"), F.hll_sketch_estimate("c")).alias("least"))
     spread = cut(spread.where(F.col("least") >= min_sites * (1 - error)))
     near = spread.where(F.col("least") < min_sites * (1 + error)).select("a", "b")
-    exact = all_lines.join(near, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.countDistinct("site").alias("s"), F.countDistinct("context").alias("c"))
+    exact = all_lines.join(near, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.countDistinct("site").alias("s"), F.countDistinct("whole").alias("c"))
     exact = exact.where((F.col("s") >= min_sites) & (F.col("c") >= min_sites)).select("a", "b")
     return spread.where(F.col("least") >= min_sites * (1 + error)).select("a", "b").union(exact)
 
