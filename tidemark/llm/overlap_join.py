@@ -16,7 +16,7 @@ the common ones. It is a hint of bounded size (COMMON); any order gives the same
 
 Defined cases: a null or blank text has no shingle and links with nothing; a text of fewer words is one shingle; equal sets link;
 rows of an equal doc_id are one node, linked with all that one of them links with; a null doc_id is left out; an empty table gives
-an empty result; other columns are ignored by classes() and kept by keep_one().
+an empty result; other columns are ignored by classes() and kept by keep_one(), which compares rows, whatever their doc_ids.
 """
 
 from __future__ import annotations
@@ -362,9 +362,18 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs, in all their columns, without those that aren't the first of their component."""
-    gone = classes(docs, words, num, den).groupBy("doc_id").agg(F.min("component_id").alias("c")).where("doc_id <> c").select(F.col("doc_id").alias("tm_gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["tm_gone"], "left_anti")
+    """docs, in all their columns: of each component of similar rows the one of the smallest doc_id, null ones last.
+
+    Rows are compared by numbers of their own, so repeated and null doc_ids are rows as any other.
+    """
+    row = "tm_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = classes(numbered.select(F.col(row).alias("doc_id"), "text"), words, num, den).select(F.col("doc_id").alias(row), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col(row).alias("row"))
+    kept = found.join(numbered.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(place)["row"].alias(row)).select(row)
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def op10_divide_skip(spark, sf_dir) -> DataFrame:
