@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_tree, common, digest, itq, line_spread, mixing, overlap_join, packing, quality, style_tree, toxicity
+from tidemark.llm import chat_tree, common, digest, divide_skip, itq, line_spread, mixing, overlap_join, packing, quality, style_tree, toxicity
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, tm_doc int, s int, token string, root string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -209,19 +209,30 @@ def test_fingerprints(spark, nothing):
     assert digest.fingerprints(nothing).count() == 0
 
 
-def test_equal_digests_of_different_texts_are_told_apart(spark, monkeypatch):
-    docs = documents(spark, [(1, "a", "x"), (2, "b", "x"), (3, "A", "x"), (4, "c", "x")]).select("doc_id", "text")
-    found = digest.by_text(docs, lambda t: ("same" if digest.canonical(t) in (b"a", b"b") else "else",), "fingerprint string", ["fingerprint"])
-    assert found.groupBy("fingerprint").count().count() == 2
-    real = {r.doc_id: r.fingerprint for r in digest.fingerprints(docs).collect()}
-    assert real[1] == real[3] and len(set(real.values())) == 3
+def test_equal_digests_of_different_texts_are_told_apart(spark):
+    rows = [(1, "a", "x"), (2, "b", "x"), (3, " A ", "x"), (4, "", "x"), (None, None, "x"), (5, "\n", "x"), (6, "c", "x"), (7, "c", "x"), (7, "b", "x"), (8, "long " * 50_000, "x"), (None, "b", "x")]
+    got = [(r.doc_id, r.fingerprint) for r in digest.fingerprints(documents(spark, rows), lambda form: "long" if len(form) > 9 else "same").collect()]
+    assert len(got) == len(rows) and {f.partition("~")[0] for _, f in got} == {"same", "long"}
+    marks = {}
+    for i, f in got:
+        marks.setdefault(i, set()).add(f)
+    assert marks[1] == marks[3] and marks[4] == marks[5] and marks[6] | marks[2] == marks[7] and marks[None] == marks[4] | marks[2]
+    assert len(set.union(*marks.values())) == 5
+    whole = digest.edited_apart(documents(spark, rows), lambda form: "same").collect()
+    assert len(whole) == len(rows) and len({r.fingerprint for r in whole}) == 5
+    forms = {}
+    for i, t, _ in rows:
+        forms.setdefault(i, set()).add(digest.canonical(t or ""))
+    for r in whole:
+        assert r.doc_id in forms and (r.near_edited == 1.0) == (r.edited_fingerprint == r.fingerprint) or r.fingerprint == "same"
+    assert sum(r.doc_id is None for r in whole) == 2
 
 
 def test_edited_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(digest, "RANGE_ROWS", 5)
-    rows = [(k * 3, prose(k, k), "a") for k in range(40)] + [(200, "x", "a"), (201, "x", "a"), (202, None, "a"), (203, "𝒜b\nc" * 9, "a")]
+    rows = [(k * 3, prose(k, k), "a") for k in range(40)] + [(200, "x", "a"), (201, "x", "a"), (202, None, "a"), (203, "𝒜b\nc" * 9, "a"), (None, "the null one", "a"), (204, "word " * 30_000, "a")]
     got = {r.doc_id: r for r in digest.edited(documents(spark, rows)).collect()}
-    down = sorted(rows, reverse=True)
+    down = sorted(rows, key=lambda r: -1 if r[0] is None else r[0], reverse=True)
     assert len(got) == len(rows)
     for k, (i, t, _) in enumerate(down):
         t, after = t or "", down[(k + 1) % len(down)][1] or ""
@@ -376,14 +387,30 @@ def test_classes_against_brute_force(spark, monkeypatch, words, num, block):
             rows.append((len(rows) + base, " ".join(w).upper() if r.random() < 0.3 else "  ".join(w)))
     common = " ".join(f"passage{k}" for k in range(40))
     rows += [(200 + k, common + f" tail{k} tail{k + 1} end{k}") for k in range(20)] + [(300, None), (301, ""), (302, "two words"), (303, "TWO\twords"), (304, "É é"), (305, "é É"), (306, " \n"), (1, rows[1][1])]
-    docs = documents(spark, [(i, t, "a") for i, t in rows])
+    docs = documents(spark, [(i, t, "a") for i, t in rows] + [(None, rows[0][1], "a"), (None, None, "a")])
     got = overlap_join.classes(docs, words, num).collect()
     want = brute_classes(rows, words, num)
     assert len(got) == len(rows)
     assert {g.doc_id: g.component_id for g in got} == want
     assert next(g.n_shingles for g in got if g.doc_id == 300) == 0 and next(g.n_shingles for g in got if g.doc_id == 302) == 1
     kept = overlap_join.keep_one(docs, words, num)
-    assert kept.columns == docs.columns and {k.doc_id for k in kept.collect()} == {i for i, c in want.items() if i == c}
+    ids = [k.doc_id for k in kept.collect()]
+    assert kept.columns == docs.columns and set(ids) == {i for i, c in want.items() if i == c} | {None} and ids.count(None) == 1
+
+
+def test_divide_skip_against_brute_force():
+    r = np.random.default_rng(4)
+    for trial in range(400):
+        lists = [sorted(set(r.integers(0, 12, r.integers(0, 9)).tolist())) for _ in range(r.integers(1, 12))]
+        counts = {m: sum(m in row for row in lists) for m in range(12)}
+        least = int(r.integers(1, 7))
+        assert list(divide_skip.merge_skip(lists, least)) == [(m, n) for m, n in counts.items() if n >= least], trial
+        query = np.unique(r.integers(0, 60, r.integers(1, 50)))
+        members = [np.unique(r.integers(0, 60, r.integers(0, 50))) for _ in range(r.integers(0, 40))]
+        need = r.integers(1, 25, len(members))
+        want = [(k, n) for k, m in enumerate(members) if (n := len(np.intersect1d(query, m))) >= need[k]]
+        assert divide_skip.search(query, r.integers(-1, 30, len(query)), members, need) == want, trial
+    assert divide_skip.long_lists(1, 5) == 0 and 0 < divide_skip.long_lists(100, 128) < 100
 
 
 def test_classes_empty(nothing):
@@ -399,9 +426,11 @@ def test_components_of_long_paths(spark):
 
 def test_bitmap_holds_all_ids(spark):
     ids = spark.range(0, 5000, 7)
-    bits = np.frombuffer(common.id_bitmap(ids, "id"), np.uint8)
-    place = np.array([r.p for r in ids.select(common.bit_of("id").alias("p")).collect()]) - 1
-    assert (bits[place >> 3] >> (place & 7) & 1).all() and np.unpackbits(bits).sum() <= ids.count()
+    assert common.bitmap_bits(0) == common.bitmap_bits(9) == 20 and common.bitmap_bits(10**6) == 24 and common.bitmap_bits(10**12) == 28
+    for wide in (20, 23):
+        bitmap = common.id_bitmap(ids, "id", wide)
+        place = np.array([r.p for r in ids.select(common.bit_of("id", wide).alias("p")).collect()])
+        assert common.held(bitmap, place).all() and np.unpackbits(np.frombuffer(bitmap, np.uint8)).sum() <= ids.count()
 
 
 def test_names_of_noise():

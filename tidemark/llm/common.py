@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of an id bitmap: 2**23 bits are 1 MB, whatever the number of ids.
-BITMAP_BITS = 23
+#: The least and the largest size of an id bitmap, as powers of two of bits: 128 KB and 32 MB.
+LEAST_BITS, MOST_BITS = 20, 28
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset and all
+    runs on one machine (tests). On a cluster without it there is no folder that all machines see: an error."""
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return sc.getCheckpointDir()
 
@@ -40,15 +45,20 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bit_of(column, bits: int = BITMAP_BITS):
-    """The place, from 1, of a column's value in an id bitmap."""
+def bitmap_bits(n: int) -> int:
+    """The size of a bitmap of n ids: 16 bits an id, so one in 16 of the other ids gets through, up to MOST_BITS."""
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(16 * n + 1))))
+
+
+def bit_of(column, bits: int):
+    """The place, from 1, of a column's value in an id bitmap; null has a place, too."""
     return (F.pmod(F.xxhash64(column), F.lit(1 << bits)) + 1).cast("long")
 
 
-def id_bitmap(df: DataFrame, column: str, bits: int = BITMAP_BITS) -> bytes:
-    """A bitmap of fixed size (2**bits bits) in which every value of a column has its bit_of() set.
+def id_bitmap(df: DataFrame, column: str, bits: int) -> bytes:
+    """A bitmap of 2**bits bits in which every value of a column has its bit_of() set.
 
-    It may hold more than those values, so it only thins out what a join then decides.
+    It may hold more than those values, so it only thins out what a join or a comparison then decides.
     """
     place = df.select(bit_of(column, bits).alias("p"))
     parts = place.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
@@ -58,6 +68,12 @@ def id_bitmap(df: DataFrame, column: str, bits: int = BITMAP_BITS) -> bytes:
     return bytes(out)
 
 
+def held(bitmap: bytes, place: np.ndarray) -> np.ndarray:
+    """Which places, from 1, a bitmap holds."""
+    at = np.asarray(place, np.int64) - 1
+    return (np.frombuffer(bitmap, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id that each id of edges (a, b) reaches; edges of null ids and loops count for nothing.
 

@@ -1,15 +1,18 @@
 """Jaccard self-join on word shingles by T-occurrence search.
 
-Two sets are similar only if they share T shingles or more. In the manner of DivideSkip a document's inverted lists are split: the
-short ones are merged, and the long ones are only probed by binary search for the candidates that the merge brings up. Shingles
-are put in one global order, common ones last, and of a set of n only the first n - T + 1 are merged (the prefix), as sets that
-share T must share one of those; the others are the long lists, probed in the candidates' sorted arrays.
+Two sets are similar only if they share T shingles or more. Candidates come from inverted lists: shingles are put in one global
+order, common ones last, and of a set of n only the first n - T + 1 go to the lists (the prefix), as sets that share T must share
+one of those. The lists are a shuffle by shingle and a sorted stream over each. A pair must also pass its size, the place of the
+shared shingle, and a bound by the sets' counts in 64 hash buckets; all three only drop pairs that cannot be similar.
 
-The merge is a shuffle by shingle and a sorted stream over each list. A pair must also pass its size, the place of the shared
-shingle, and a bound by the sets' counts in 64 hash buckets; all three only drop pairs that cannot be similar. Pairs within a
-group are never all made: first each member of a list is checked against the list's leader, the similar ones become components,
-and only then, in lists whose members are of several components, pairs of different components are checked. Equal sets are one
-node from the start. Lists longer than BLOCK are dealt as pairs of blocks.
+Candidates are decided by DivideSkip (divide_skip.py) on whole sets: a list's leader is the query, the members that it is to be
+compared with are the group searched. The inverted lists of the query's rarer shingles are merged by a heap that counts
+occurrences, members below T less the number of long lists are skipped, and the lists of its common shingles are probed by binary
+search; members that reach T are links.
+
+Pairs within a group are never all made: first each member of a list is checked against the list's leader, the similar ones become
+components, and only then, in lists whose members are of several components, pairs of different components are checked. Equal sets
+are one node from the start. Lists longer than BLOCK are dealt as pairs of blocks.
 
 The order of shingles comes from counts over all documents: tasks report what recurs among the documents they read, the sums name
 the common ones. It is a hint of bounded size (COMMON); any order gives the same result.
@@ -29,11 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bit_of, components, cut, id_bitmap, table
+from tidemark.llm import divide_skip
+from tidemark.llm.common import bit_of, bitmap_bits, components, cut, held, id_bitmap, table
 
 #: Common shingles that the order knows, at most; hashes that a task counts at once; members of a list compared at once;
-#: members that are checked against one leader at once.
-COMMON, COUNTED, BLOCK, FANOUT = 1 << 18, 1 << 21, 1024, 128
+#: members that are checked against one leader at once, and their shingles in all.
+COMMON, COUNTED, BLOCK, FANOUT, HELD = 1 << 18, 1 << 21, 1024, 128, 1 << 22
 BUCKETS = 64
 #: So many pairs are broadcast to the sets (some 16 MB); more of them meet the sets in a shuffled join.
 BROADCAST_PAIRS = 400_000
@@ -86,15 +90,15 @@ def _common(docs: DataFrame, words: int) -> np.ndarray:
             h, n = np.unique(np.concatenate(parts), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(h[n > 2]), pa.array(n[n > 2].astype(np.int64))], names=["s", "n"])
 
-        parts, held = [], 0
+        parts, n = [], 0
         for batch in batches:
             for text in batch.column(0):
                 if text.is_valid:
                     parts.append(shingles(text.as_py(), words))
-                    held += len(parts[-1])
-                    if held >= COUNTED:
+                    n += len(parts[-1])
+                    if n >= COUNTED:
                         yield flush(parts)
-                        parts, held = [], 0
+                        parts, n = [], 0
         if parts:
             yield flush(parts)
 
@@ -108,10 +112,16 @@ def _node(h: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
 
 
-def _prefixes(docs: DataFrame, words: int, like: Likeness, common: np.ndarray) -> DataFrame:
+def _ranks(h: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The place of each shingle among the common ones, -1 for others; known: the common ones, sorted."""
+    if not len(known):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[at] == h, rank[at], -1)
+
+
+def _prefixes(docs: DataFrame, words: int, like: Likeness, hint) -> DataFrame:  # noqa: ANN001
     """doc_id, n, node (the whole set's id), prefix, n_index (how many of it are in the index prefix), counts by bucket."""
-    order = np.argsort(common, kind="stable")
-    hint = docs.sparkSession.sparkContext.broadcast((common[order], order))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = hint.value
@@ -124,9 +134,7 @@ def _prefixes(docs: DataFrame, words: int, like: Likeness, common: np.ndarray) -
                 nodes.append(_node(h) if n else None)
                 sketches.append(np.minimum(np.bincount((h & (BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
                 if n and len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    hit = known[at] == h
-                    h = np.concatenate([h[~hit], h[hit][np.argsort(rank[at[hit]], kind="stable")]])
+                    h = h[np.argsort(_ranks(h, known, rank), kind="stable")]
                 prefixes.append(h[: like.probe(n)] if n else h)
                 indexed.append(like.index(n) if n else 0)
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
@@ -142,21 +150,19 @@ def _postings(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Documents that aren't their node's first are left out by a bitmap of the first ones; one that slips through does no harm.
     """
-    bits = rows.sparkSession.sparkContext.broadcast(id_bitmap(nodes, "first"))
+    wide = bitmap_bits(nodes.count())
+    bits = rows.sparkSession.sparkContext.broadcast(id_bitmap(nodes, "first", wide))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
-            place = _column(batch, "place") - 1
-            rows = pa.array(np.flatnonzero(held[place >> 3] >> (place & 7).astype(np.uint8) & 1))
-            batch = batch.take(rows)
+            batch = batch.filter(pa.array(held(bits.value, _column(batch, "place"))))
             lists = batch.column(batch.schema.get_field_index("prefix"))
             size = np.diff(lists.offsets.to_numpy())
             k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             n, node, index = (np.repeat(_column(batch, c), size) for c in ("n", "node", "n_index"))
             yield pa.RecordBatch.from_arrays([lists.flatten(), pa.array(node), pa.array(_packed(n.astype(np.int64), k, k < index))], names=["s", "doc", "m"])
 
-    ready = rows.where("n > 0").select("node", "n", "n_index", "prefix", bit_of("doc_id").alias("place"))
+    ready = rows.where("n > 0").select("node", "n", "n_index", "prefix", bit_of("doc_id", wide).alias("place"))
     return ready.mapInArrow(spread, "s long, doc long, m long")
 
 
@@ -289,25 +295,24 @@ def _across(postings: DataFrame, like: Likeness) -> DataFrame:
     return postings.repartition("s", "x", "y").sortWithinPartitions("s", "x", "y").mapInArrow(stream, "a long, b long").distinct()
 
 
-def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, like: Likeness) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are similar: each b's shingles are sought in a's sorted array.
+def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, like: Likeness, hint) -> DataFrame:  # noqa: ANN001
+    """The pairs (a, b) of nodes whose whole sets are similar, by DivideSkip: a's set is the query, its b's are searched.
 
     The sets are made anew from the texts of the nodes' first documents, which a bitmap picks.
     """
     pairs = cut(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(nodes.join(wanted, "node", "left_semi"), "first"))
+    wanted = cut(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
+    wide = bitmap_bits(wanted.count())
+    bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(wanted, "first", wide))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
-            place = _column(batch, "place") - 1
-            rows = np.flatnonzero(held[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            rows = np.flatnonzero(held(bits.value, _column(batch, "place")))
             found = [h for k in rows if len(h := shingles(batch.column(0)[int(k)].as_py() or "", words))]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], names=["id", "s"])
 
-    texts = docs.where("doc_id is not null").select(F.col("text").cast("string"), bit_of(F.col("doc_id").cast("long")).alias("place"))
+    texts = docs.where("doc_id is not null").select(F.col("text").cast("string"), bit_of(F.col("doc_id").cast("long"), wide).alias("place"))
     known = texts.mapInArrow(sets, "id long, s binary")
     # a leader's set goes once to each group of FANOUT members
     groups = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / FANOUT).cast("int").alias("groups"))
@@ -317,40 +322,54 @@ def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, li
     # few enough pairs go to the sets; of more the sets go to the pairs
     sent = known.join(F.broadcast(wants) if pairs.count() <= BROADCAST_PAIRS else wants, "id").select("a", "g", "b", "s")
 
-    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, whole = None, np.zeros(1, np.int64)
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = hint.value
+        key, query, ids, members, size = None, None, [], [], 0
+
+        def links() -> pa.RecordBatch:
+            least = like.overlap(len(query) + np.array([len(m) for m in members]))
+            found = divide_skip.search(query, _ranks(query, *common), members, least) if members else []
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.int64()), pa.array([ids[k] for k, _ in found], pa.int64())], names=["a", "b"])
+
         for batch in batches:
-            out = []
             for a, g, b, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 s = np.frombuffer(s.as_py(), np.int64)
-                if b is None:
-                    key, whole = (a, g), s
-                    continue
-                both = int((whole[np.minimum(np.searchsorted(whole, s), len(whole) - 1)] == s).sum())
-                if key == (a, g) and like.den * both >= like.num * (len(whole) + len(s) - both):
-                    out.append((a, b))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
-
-    return sent.repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first()).mapInArrow(probed, "a long, b long")
+                if b is None:  # a group's query comes first
+                    if members:
+                        yield links()
+                    key, query, ids, members, size = (a, g), s, [], [], 0
+                elif key == (a, g):
+                    ids.append(b)
+                    members.append(s)
+                    size += len(s)
+                    if size >= HELD:
+                        yield links()
+                        ids, members, size = [], [], 0
+        if members:
+            yield links()
+
+    return sent.repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first()).mapInArrow(searched, "a long, b long")
 
 
 def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that similar sets lead to) of every row of docs."""
     like = Likeness(num, den)
-    rows = cut(_prefixes(docs, words, like, _common(docs, words)))
+    common = _common(docs, words)
+    order = np.argsort(common, kind="stable")
+    hint = docs.sparkSession.sparkContext.broadcast((common[order], order))
+    rows = cut(_prefixes(docs, words, like, hint))
     # equal sets are one node
     nodes = cut(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")))
     sketches = rows.where("n > 0").groupBy(F.col("node").alias("doc")).agg(F.min("sketch").alias("sketch"))
     lists = cut(_shared(_postings(rows, nodes)))
-    links = cut(_similar(docs, nodes, _plausible(_to_leaders(lists, like), sketches, like), words, like))
+    links = cut(_similar(docs, nodes, _plausible(_to_leaders(lists, like), sketches, like), words, like, hint))
     roots = components(links)
     rooted = cut(lists.join(roots.select(F.col("id").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc")))
     mixed = rooted.groupBy("s").agg(F.count("*").alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2 and n > 2")
     mixed = mixed.select("s", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = rooted.join(mixed, "s").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("blocks", "other")
-    more = cut(_similar(docs, nodes, _across(dealt.join(sketches, "doc"), like), words, like))
+    more = cut(_similar(docs, nodes, _across(dealt.join(sketches, "doc"), like), words, like, hint))
     # rows of an equal doc_id are one
     several = rows.where("n > 0").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
     same = rows.where("n > 0").join(several, "doc_id").select("a", F.col("node").alias("b"))
