@@ -1,11 +1,13 @@
 r"""Lines that spread over sites are boilerplate and go.
 
-A line's key is a 128-bit hash of its trimmed text. For each key two HyperLogLog sketches merge by aggregation: of the sites
-(`source`) and of the different whole texts that it stands in. A line is boilerplate if both count `min_sites` or more: copies
-of a whole document spread a line over sites, but are one text, so a copied document keeps its lines. What stands around a line
-doesn't matter, so the lines of a fixed block go as others do. Where
-an estimate lies within its error (three standard errors) of the threshold, the line gets exact distinct counts instead. Only
-DataFrame functions are used.
+A line's key is a 128-bit hash of its trimmed text. For each key HyperLogLog sketches of the sites (`source`) merge by aggregation;
+a line on `min_sites` sites or more is boilerplate, whatever stands around it, so a fixed block goes as a whole. Where an estimate
+lies within its error (three standard errors) of the threshold, the line gets an exact distinct count instead. Only DataFrame
+functions are used.
+
+Copies of a whole document spread each of its lines over sites, too, though it is one text and no boilerplate: a document counts
+once, however often it is copied. So a line must also stand in `min_texts` different whole texts, which a second sketch counts
+and an exact count decides near its threshold; min_texts=1 leaves the sites alone.
 
 Defined cases: empty lines are never boilerplate; a null text stays null, with no lines; a null source is a site of its own; of
 repeated doc_ids each row loses its own boilerplate; a text of boilerplate alone becomes empty; an empty table gives an empty
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, table
 
-MIN_SITES = 8
+#: Sites that make a line boilerplate, and different texts that it must stand in.
+MIN_SITES, MIN_TEXTS = 8, 8
 #: Sketches of 2**LG_K registers: a standard error of 1.04 / sqrt(2**LG_K).
 LG_K = 10
 _TRIMMED = " \t\r"
@@ -41,22 +44,23 @@ def lines(docs: DataFrame) -> DataFrame:
     return keys.where("not k.empty").select("doc", "site", F.col("k.a").alias("a"), F.col("k.b").alias("b"), "whole")
 
 
-def boilerplate(all_lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """The keys (a, b) of lines that stand on min_sites sites and in as many different texts."""
+def boilerplate(all_lines: DataFrame, min_sites: int = MIN_SITES, min_texts: int = MIN_TEXTS, lg_k: int = LG_K) -> DataFrame:
+    """The keys (a, b) of lines that stand on min_sites sites and in min_texts different texts."""
     error = 3 * 1.04 / 2 ** (lg_k / 2)
-    sketches = all_lines.groupBy("a", "b").agg(F.count("*").alias("n"), F.hll_sketch_agg("site", lg_k).alias("s"), F.hll_sketch_agg("whole", lg_k).alias("c"))
-    spread = sketches.where(F.col("n") >= min_sites).select("a", "b", F.least(F.hll_sketch_estimate("s"), F.hll_sketch_estimate("c")).alias("least"))
-    spread = cut(spread.where(F.col("least") >= min_sites * (1 - error)))
-    near = spread.where(F.col("least") < min_sites * (1 + error)).select("a", "b")
-    exact = all_lines.join(near, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.countDistinct("site").alias("s"), F.countDistinct("whole").alias("c"))
-    exact = exact.where((F.col("s") >= min_sites) & (F.col("c") >= min_sites)).select("a", "b")
-    return spread.where(F.col("least") >= min_sites * (1 + error)).select("a", "b").union(exact)
+    sketches = all_lines.groupBy("a", "b").agg(F.count("*").alias("n"), F.hll_sketch_agg("site", lg_k).alias("s"), F.hll_sketch_agg("whole", lg_k).alias("t"))
+    # how often a line's estimates are of their thresholds
+    spread = sketches.where(F.col("n") >= max(min_sites, min_texts)).select("a", "b", F.least(F.hll_sketch_estimate("s") / min_sites, F.hll_sketch_estimate("t") / min_texts).alias("of"))
+    spread = cut(spread.where(F.col("of") >= 1 - error))
+    near = spread.where(F.col("of") < 1 + error).select("a", "b")
+    exact = all_lines.join(near, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.countDistinct("site").alias("s"), F.countDistinct("whole").alias("t"))
+    exact = exact.where((F.col("s") >= min_sites) & (F.col("t") >= min_texts)).select("a", "b")
+    return spread.where(F.col("of") >= 1 + error).select("a", "b").union(exact)
 
 
-def strip(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+def strip(docs: DataFrame, min_sites: int = MIN_SITES, min_texts: int = MIN_TEXTS, lg_k: int = LG_K) -> DataFrame:
     """docs with boilerplate lines taken out of text, and two columns more: tm_lines and tm_removed."""
     found = cut(lines(docs))
-    gone = found.join(boilerplate(found, min_sites, lg_k), ["a", "b"]).groupBy(F.col("doc").alias("tm_doc")).agg(F.collect_set(F.struct("a", "b")).alias("tm_gone"))
+    gone = found.join(boilerplate(found, min_sites, min_texts, lg_k), ["a", "b"]).groupBy(F.col("doc").alias("tm_doc")).agg(F.collect_set(F.struct("a", "b")).alias("tm_gone"))
     both = docs.join(gone, _document(docs) == gone["tm_doc"], "left")
     whole = F.split(docs["text"].cast("string"), "\n")
 
@@ -76,14 +80,13 @@ def op3_line_spread(spark, sf_dir) -> DataFrame:
     return out.select("doc_id", "text", F.col("tm_lines").alias("n_lines"), F.col("tm_removed").alias("n_removed"))
 
 
+# doc_ids are unique in the tables at hand; of a null text no line is left
 ORACLE = r"""
 with l as (
   select doc_id, text, source, i, string_split(text, chr(10))[i] as line, trim(string_split(text, chr(10))[i], ' ' || chr(9) || chr(13)) as key
   from (select *, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents)),
-c as (
-  select *, coalesce(lag(key) over (partition by doc_id order by i), chr(1)) || chr(2) || coalesce(lead(key) over (partition by doc_id order by i), chr(1)) as context from l),
-b as (select key from c where key <> '' group by key having count(distinct coalesce(source, '')) >= 8 and count(distinct context) >= 8)
+b as (select key from l where key <> '' group by key having count(distinct coalesce(source, '')) >= 8 and count(distinct text) >= 8)
 select doc_id, coalesce(string_agg(line, chr(10) order by i) filter (where b.key is null), '') as text,
        count(*) as n_lines, count(b.key) as n_removed
-from c left join b on c.key = b.key group by doc_id
+from l left join b on l.key = b.key group by doc_id
 """
