@@ -105,19 +105,18 @@ def test_mixing_defined_cases(spark, mixed, nothing):
 # 3 lines
 
 
-def brute_lines(rows, least):
-    sites, contexts = {}, {}
+def brute_lines(rows, sites, texts):
+    where, whole = {}, {}
     for _, t, s in rows:
-        keys = [x.strip(" \t\r") for x in t.split("\n")] if t is not None else []
-        for k, x in enumerate(keys):
-            if x:
-                sites.setdefault(x, set()).add(s or "")
-                contexts.setdefault(x, set()).add((keys[k - 1] if k else None, keys[k + 1] if k + 1 < len(keys) else None))
-    gone = {x for x in sites if len(sites[x]) >= least and len(contexts[x]) >= least}
+        for x in {x.strip(" \t\r") for x in t.split("\n")} - {""} if t is not None else ():
+            where.setdefault(x, set()).add(s or "")
+            whole.setdefault(x, set()).add(t)
+    gone = {x for x in where if len(where[x]) >= sites and len(whole[x]) >= texts}
     return [(i, None if t is None else "\n".join(x for x in t.split("\n") if x.strip(" \t\r") not in gone)) for i, t, _ in rows]
 
 
-def test_lines_against_brute_force(spark):
+@pytest.mark.parametrize("texts", [5, 1])
+def test_lines_against_brute_force(spark, texts):
     r = random.Random(5)
     rows = []
     for k in range(150):
@@ -129,11 +128,17 @@ def test_lines_against_brute_force(spark):
     copied = "copied one\ncopied two\ncopied three"
     rows += [(300 + k, copied, f"s{k}") for k in range(12)] + [(400, None, "s1"), (401, "", None), (402, "\n\n", "s2"), (403, "boilerplate number 11 \t", "s3"), (None, prose(3), "s1")]
     docs = documents(spark, rows)
-    out = line_spread.strip(docs, 5)
+    out = line_spread.strip(docs, 5, texts)
     got = sorted(((x.doc_id, x.text) for x in out.collect()), key=str)
-    assert got == sorted(brute_lines(rows, 5), key=str)
+    assert got == sorted(brute_lines(rows, 5, texts), key=str)
     assert out.columns == [*docs.columns, "tm_lines", "tm_removed"]
-    assert all(t == copied for i, t in got if i and 300 <= i < 400)
+    assert all((t == copied) == (texts > 1) for i, t in got if i and 300 <= i < 400)
+
+
+def test_block_on_many_sites_goes_entirely(spark):
+    block = [f"notice line {k}" for k in range(5)]
+    rows = [(k, "\n".join([f"body {k}", *block, f"end {k}"]), f"s{k}") for k in range(60)]
+    assert {r.doc_id: r.text for r in line_spread.strip(documents(spark, rows)).collect()} == {k: f"body {k}\nend {k}" for k in range(60)}
 
 
 def test_lines_empty(nothing):
@@ -247,26 +252,45 @@ def test_edited_against_brute_force(spark, monkeypatch):
 # 7 embeddings
 
 
-def test_near_vectors_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("dims", [32, 3])
+def test_near_vectors_against_brute_force(spark, monkeypatch, dims):
     monkeypatch.setattr(itq, "BLOCK", 16)
     monkeypatch.setattr(itq, "SMALL", 6)
+    monkeypatch.setattr(itq, "HOT", 4)
     r = np.random.default_rng(3)
-    base = r.standard_normal((60, 32))
-    x = np.vstack([base, *(base[:12] + r.standard_normal((12, 32)) * s for s in (0.05, 0.1, 0.15)), base[0] + r.standard_normal((90, 32)) * 0.06])
-    rows = [(k, [float(v) for v in row], 9) for k, row in enumerate(x)]
-    odd = [(500, None, 1), (501, [], 1), (502, [0.0] * 32, 1), (503, [float("nan")] * 32, 1), (504, [None] + [1.0] * 31, 1), (505, [float("inf")] * 32, 1), (506, [1.0, 2.0], 1), (507, [1.0, 2.0], 1), (0, rows[0][1], 9), (None, rows[0][1], 9)]
-    frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, root int")
+    base = r.standard_normal((60, dims))
+    x = np.vstack([base, *(base[:12] + r.standard_normal((12, dims)) * s for s in (0.05, 0.1, 0.15)), base[0] + r.standard_normal((90, dims)) * 0.06, base[20:26], base[20:22], *[base[40:41]] * 7])
+    rows = [(k, [float(v) for v in row], 9, 1, "x") for k, row in enumerate(x)]
+    odd = [(500, None, 1), (501, [], 1), (502, [0.0] * dims, 1), (503, [float("nan")] * dims, 1), (504, [None] + [1.0] * (dims - 1), 1), (505, [float("inf")] * dims, 1), (506, [1.0, 2.0], 1), (507, [1.0, 2.0], 1), (0, rows[0][1], 9), (None, rows[0][1], 9)]
+    frame = spark.createDataFrame(rows + [(*o, 1, "x") for o in odd], "vec_id long, embedding array<double>, root int, m int, h string")
     got = {g.vec_id: g for g in itq.near_vectors(frame).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
     assert len(got) == len(rows) + 8 and all(got[i].n_links == 0 and got[i].component_id == i for i in range(500, 506))
     assert got[506].n_links == got[507].n_links == 1 and got[507].component_id == 506
     links = np.array([got[k].n_links for k in range(len(x))])
-    assert (links <= near.sum(1)).all() and links.sum() >= 0.9 * near.sum()
+    assert (links <= near.sum(1)).all() and links.sum() >= 0.95 * near.sum()
     assert all(g.kept == (g.vec_id == g.component_id) for g in got.values())
+    same = [k for k in range(len(x)) if (x[k] == base[40]).all()]
+    assert len(same) == 8 and {got[k].component_id for k in same} == {got[40].component_id} and all(got[k].n_links >= 7 for k in same)
     assert itq.near_vectors(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dims", [2, 8, 16, 24, 32, 48, 64, 128])
+@pytest.mark.parametrize("shift", [0.0, 1.0])
+def test_recall_at_the_threshold_whatever_the_dimensions(dims, shift):
+    r = np.random.default_rng(dims)
+    unit = lambda z: z / np.linalg.norm(z, axis=1, keepdims=True)
+    x = unit(r.standard_normal((3000, dims)) + shift)
+    mean, projection, width, most = itq.tables_for(x[:2000], 100_000, 0.95)
+    a = x[2000:]
+    aside = r.standard_normal(a.shape)
+    aside = unit(aside - (aside * a).sum(1, keepdims=True) * a)
+    b = 0.951 * a + math.sqrt(1 - 0.951**2) * aside
+    ka, kb = (itq.substrings(z, mean, projection, width) for z in (a, b))
+    assert ((ka == kb).any(1) & (itq.distances(ka, kb) <= most)).mean() >= 0.93
+
+
 # 8 pages
 
 
