@@ -1,6 +1,7 @@
 """The operators against brute force, and their defined cases: nulls, empty and long texts, ties, repeats, empty tables, odd columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_tree, common, digest, divide_skip, itq, line_spread, mixing, overlap_join, packing, quality, style_tree, toxicity
+from tidemark.llm import chat_tree, common, digest, divide_skip, itq, line_spread, mixing, overlap_join, packing, quality, style_tree, toxicity, transducer
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, tm_doc int, s int, token string, root string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -148,11 +149,79 @@ def test_lines_empty(nothing):
 # 4 toxicity
 
 
+def test_composition_against_path_enumeration():
+    r = random.Random(8)
+
+    def machine(reads, writes):
+        states = r.randint(1, 3)
+        arcs = {s: [transducer.Arc(r.choice(reads), r.choice(writes), r.randint(-3, 3), r.randrange(states)) for _ in range(r.randint(0, 5))] for s in range(states)}
+        return transducer.Transducer(arcs, {s: float(r.randint(0, 2)) for s in range(states) if r.random() < 0.7})
+
+    some = 0
+    for _ in range(300):
+        a, b = machine("xyz", "pq"), machine("pq", "uv")
+        c = a.compose(b)
+        for word in ("", "x", "xy", "yzx", "xxyz"):
+            want = sorted((w1 + w2, out) for w1, mid in a.paths(word) for w2, out in b.paths(mid))
+            assert sorted(c.paths(word)) == want
+            best = c.run(word)
+            assert (best is None and not want) or (best[0] == max(w for w, _ in want) and best in want)
+            some += bool(want)
+    assert some > 100
+
+
+def test_grammar_machine_reads_every_clause_one_way():
+    """Against the patterns' definition, symbol by symbol; each clause has just one path."""
+    machine = toxicity.composed()
+    for n in range(6):
+        for word in itertools.product("IVTNRW", repeat=n):
+            want = []
+            for k, x in enumerate(word):
+                kind = "insult" if x == "I" else "threat" if x == "V" and "T" in word[k + 1 : k + 4] else ""
+                if kind and "R" in word[:k]:
+                    kind += " reported"
+                elif kind and "N" in word[max(0, k - 3) : k]:
+                    kind += " negated"
+                elif x == "I" and "T" in word:
+                    kind += " target"
+                want.append(kind)
+            assert list(machine.paths(word)) == [(pytest.approx(sum(toxicity.PATTERNS.get(p, 0.0) for p in want)), tuple(want))], word
+
+
 def test_grammar_scores_clauses():
     g = toxicity.Grammar({"idiot": 2.0, "scum": 1.0})
-    assert [c[:2] for c in g.clauses("You are an idiot, truly. Fine day. He said they are scum! Not an idiot\nidiotic scum")] == [("insult target", 2.0), ("reported", 1.0), ("negated", 2.0), ("insult", 3.0)]
+    text = "You are an idiot, truly. Fine day. He said they are scum! Not an idiot\nidiotic scum; I will kill you. I will not kill you. He wrote: I shoot them; we kill time"
+    w = toxicity.PATTERNS
+    assert [c[:2] for c in g.clauses(text)] == [
+        ({"insult target": 2.0}, 2.0 + w["insult target"]), ({"insult reported": 1.0}, 1.0 + w["insult reported"]), ({"insult negated": 2.0}, 2.0 + w["insult negated"]),
+        ({"insult": 3.0}, 3.0 + 2 * w["insult"]), ({"threat": 2.0}, 2.0 + w["threat"]), ({"threat negated": 2.0}, 2.0 + w["threat negated"]), ({"threat reported": 2.0}, 2.0 + w["threat reported"]),
+    ]
     assert g.clauses("unidiomatic prose, a nonidiot") == [] and g.clauses("") == []
-    assert g.clauses("I will kill you")[0][0] == "threat"
+    assert len(g.clauses("idiot " * 30_000)) == 1
+    seeds = toxicity.Toxicity(toxicity.Grammar(dict.fromkeys(toxicity.INSULTS, 2.0)), *toxicity.SEED_MODEL)
+    p = seeds.scores(["I will kill you", "I will not kill you", "He said I will kill you", "You idiot", "He is not an idiot", "They wrote: you idiot", "We find time to beat eggs"])
+    assert (p >= 0.5).tolist() == [True, False, False, True, False, False, False]
+
+
+def test_grammar_beats_words_alone(spark):
+    """Insults, threats, and the same ones negated or reported: without the machine's patterns they can't be told apart."""
+    r, rows = random.Random(2), []
+    for k in range(400):
+        word, verb = r.choice(["idiot", "moron", "scum"]), r.choice(["hurt", "shoot", "kill"])
+        # every word of the cores stands in all documents, so none says anything by itself
+        body = [prose(3000 + k, 8), "what will we say", "it is not she that said it", "we never are what is reported", "you are a friend", "that we will"]
+        y = k % 2
+        core = r.choice([f"you are a {word}", f"we will {verb} you", f"what a {word}"]) if y else r.choice([f"you are not a {word}", f"she said you are a {word}", f"we never {verb} you", f"it is reported that we {verb} you"])
+        body.insert(r.randint(0, 6), core)
+        rows.append((k, ". ".join(body), y))
+    docs = documents(spark, [(i, t, "a") for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 4 < 2], LABELS)
+    held = [(i, t, y) for i, t, y in rows if i % 4 >= 2]
+    right = {}
+    for make in (toxicity.composed, toxicity.plain_machine):
+        model = toxicity.learn(docs, labels, make=make)
+        right[make] = np.mean((model.scores([t for _, t, _ in held]) >= 0.5) == np.array([y for _, _, y in held]))
+    assert right[toxicity.composed] >= 0.95 and right[toxicity.composed] >= right[toxicity.plain_machine] + 0.2
 
 
 def test_toxicity_learns_stems(spark):

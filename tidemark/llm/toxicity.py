@@ -1,18 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Two transducers run in turn. The first reads characters: an automaton of weighted stems rewrites a word that begins with one as
-INSULT or THREAT with the stem's weight. The second reads a clause's words as symbols (INSULT, THREAT, TARGET, NEGATION, REPORT,
-WORD) and composes four small machines, one for each of insult, threat, negation and reported speech; the state that it ends in
-names the clause's pattern. A clause without an insult or threat matches nothing and scores nothing, whatever its words.
-
-A document's features are its matched clauses' weights by pattern, whole and per word; a logistic model of them gives the score.
-Stems and the model are learned from a bounded sample: `max_rows` labelled documents with the smallest hashes of their ids, half
-of them of label 1 where there are as many. Of the words' beginnings only counts reach the driver, and of those at most
-`max_stems`. Every document is scored as a whole; ids, sources, languages and labels are no features.
+A lexicon, an automaton over characters, rewrites each word of a clause as a symbol: INSULT or VERB (of a threat) with its stem's
+weight, TARGET, NEGATION, REPORT or WORD. Five weighted transducers (transducer.py) are composed into one machine that reads those
+symbols: threat (a verb and a target within three words), negation (reaches three words ahead), reported speech (reaches to the
+clause's end), insult with its target (on either side of it), and the weights of the patterns. The machine's path through a clause
+says what each insult or threat in it is (plain, aimed at a target, negated, reported), and the clause scores the sum of the
+stems' and the arcs' weights. A clause without an insult or a threat matches nothing and scores nothing, whatever its words.
+
+A document's features are its matched clauses' scores, whole, by pattern and per word; a logistic model of them gives the score.
+Stems, arc weights and the model are learned from a bounded sample: `max_rows` labelled documents with the smallest hashes of their
+ids, half of them of label 1 where there are as many. A pattern that the sample doesn't hold keeps its seed weight. Of the words'
+beginnings only counts reach the driver, and of those at most `max_stems`. Every document is scored as a whole; ids, sources,
+languages and labels are no features.
 
 Defined cases: a null text is empty and an empty text has no clause; a null label counts for nothing; of repeated labels of a
-document the largest counts; repeated documents are scored each; without labels of both kinds the seed stems score with the
-seed model; empty tables give an empty result; other columns are ignored.
+document the largest counts; repeated documents are scored each; a null doc_id is scored, and kept; without labels of both kinds
+the seed stems score with the seed model; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +25,16 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import cut, table
 from tidemark.llm.quality import held_out
+from tidemark.llm.transducer import Arc, Transducer
 
 #: Labelled documents that are learned from, learned stems, and beginnings that the driver chooses them from, at most.
 MAX_ROWS, MAX_STEMS, MAX_CANDIDATES = 8000, 256, 5000
@@ -37,37 +42,117 @@ MAX_ROWS, MAX_STEMS, MAX_CANDIDATES = 8000, 256, 5000
 SHORTEST, LONGEST = 3, 8
 # Seeds of the grammar.
 INSULTS = ("idiot", "stupid", "moron", "imbecile", "scum", "loser", "worthless", "pathetic", "disgusting", "trash", "dumbass")
-THREATS = ("kill you", "hurt you", "beat you up", "destroy you", "shoot you", "find you and")
+THREATS = ("kill", "hurt", "beat", "destroy", "shoot", "stab", "murder", "strangle", "find", "töte", "umbring", "tuer", "frapper", "matar", "golpear")
 TARGETS = frozenset("you your you're yourself he she they them him her these those people tu vous toi te du dich euch sie ihr tú usted ustedes eres es".split())
 NEGATIONS = frozenset("not no never none nobody isn't aren't wasn't don't without nicht kein keine nie ne pas jamais sans sin nunca jamás".split())
 REPORTS = frozenset("said says say called calls wrote writes quoted quote reported according dit disait écrit sagte sagt schrieb dijo dice escribió".split())
-PATTERNS = ("insult", "insult target", "threat", "negated", "reported")
+INSULT, VERB, TARGET, NEGATION, REPORT, WORD = "IVTNRW"
+THREAT = "H"
+# What the machine writes for an insult or a threat, with the seed weights of the arcs.
+PATTERNS = {"insult": 0.0, "insult target": 0.5, "insult negated": -2.0, "insult reported": -1.5, "threat": 1.0, "threat negated": -3.0, "threat reported": -2.0}
 _CLAUSE = re.compile(r"[^.!?;\n|]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+REACH = 3
+
+
+def threat_machine(reach: int = REACH) -> Transducer:
+    """A verb becomes a threat if a target follows within `reach` words, else a word.
+
+    A state (d, p) has promised a target within p words and ruled one out for d: each verb's path guesses which it is, and only
+    the path that guessed right ends.
+    """
+    number = lambda d, p: d * (reach + 1) + p
+    arcs: dict[int, list[Arc]] = {}
+    for d in range(reach + 1):
+        for p in range(reach + 1):
+            out = arcs.setdefault(number(d, p), [])
+            less = (max(d - 1, 0), max(p - 1, 0))
+            if not d:
+                out.append(Arc(TARGET, TARGET, 0.0, number(0, 0)))
+            if p != 1:  # the promise can still be kept
+                out += [Arc(x, x, 0.0, number(*less)) for x in (INSULT, NEGATION, REPORT, WORD)]
+                out.append(Arc(VERB, THREAT, 0.0, number(less[0], less[1] if p else reach)))
+            if not p:
+                out.append(Arc(VERB, WORD, 0.0, number(reach, 0)))
+    return Transducer(arcs, {number(d, 0): 0.0 for d in range(reach + 1)})
+
+
+def negation_machine(reach: int = REACH) -> Transducer:
+    """Insults and threats become negated up to `reach` words after a negation."""
+    arcs = {}
+    for k in range(reach + 1):
+        after = max(k - 1, 0)
+        arcs[k] = [Arc(NEGATION, NEGATION, 0.0, reach), *(Arc(x, x, 0.0, after) for x in (TARGET, REPORT, WORD))]
+        arcs[k] += [Arc(x, f"{x} negated" if k else x, 0.0, after) for x in (INSULT, THREAT)]
+    return Transducer(arcs, dict.fromkeys(arcs, 0.0))
+
+
+def report_machine() -> Transducer:
+    """Insults and threats after a word of report become reported ones."""
+    arcs = {}
+    for k in (0, 1):
+        arcs[k] = [Arc(REPORT, REPORT, 0.0, 1), *(Arc(x, x, 0.0, k) for x in (TARGET, NEGATION, WORD))]
+        arcs[k] += [Arc(f"{x}{how}", f"{x} reported" if k else f"{x}{how}", 0.0, k) for x in (INSULT, THREAT) for how in ("", " negated")]
+    return Transducer(arcs, dict.fromkeys(arcs, 0.0))
+
+
+def target_machine() -> Transducer:
+    """Plain insults become aimed ones if the clause holds a target, before or after them. States: none yet, seen, promised, ruled out."""
+    rest = [NEGATION, REPORT, WORD, THREAT, *(f"{x} {how}" for x in (INSULT, THREAT) for how in ("negated", "reported"))]
+    stay = lambda k: [Arc(x, x, 0.0, k) for x in rest]
+    aimed = f"{INSULT} target"
+    return Transducer(
+        {
+            0: [*stay(0), Arc(TARGET, TARGET, 0.0, 1), Arc(INSULT, aimed, 0.0, 2), Arc(INSULT, INSULT, 0.0, 3)],
+            1: [*stay(1), Arc(TARGET, TARGET, 0.0, 1), Arc(INSULT, aimed, 0.0, 1)],
+            2: [*stay(2), Arc(TARGET, TARGET, 0.0, 1), Arc(INSULT, aimed, 0.0, 2)],
+            3: [*stay(3), Arc(INSULT, INSULT, 0.0, 3)],
+        },
+        {0: 0.0, 1: 0.0, 3: 0.0},
+    )
+
+
+def pattern_machine(weights: dict[str, float]) -> Transducer:
+    """The patterns' names and weights; other symbols become an empty one."""
+    name = lambda p: p.replace("insult", INSULT).replace("threat", THREAT)
+    return Transducer({0: [*(Arc(x, "", 0.0, 0) for x in (TARGET, NEGATION, REPORT, WORD)), *(Arc(name(p), p, w, 0) for p, w in weights.items())]}, {0: 0.0})
+
+
+def composed(weights: dict[str, float] = PATTERNS) -> Transducer:
+    return reduce(Transducer.compose, [threat_machine(), negation_machine(), report_machine(), target_machine(), pattern_machine(weights)])
+
+
+def plain_machine(weights: dict[str, float] = PATTERNS) -> Transducer:
+    """The grammar taken away: every insult is plain, every verb a threat. For comparison."""
+    return Transducer({0: [*(Arc(x, "", 0.0, 0) for x in (TARGET, NEGATION, REPORT, WORD)), Arc(INSULT, "insult", weights["insult"], 0), Arc(VERB, "threat", weights["threat"], 0)]}, {0: 0.0})
 
 
 @dataclass
 class Grammar:
-    """Weighted stems and the automaton over them."""
+    """Weighted stems with the automaton over them, and the machine over a clause's symbols."""
 
     insults: dict[str, float]
     threats: dict[str, float] = field(default_factory=lambda: dict.fromkeys(THREATS, 2.0))
+    weights: dict[str, float] = field(default_factory=lambda: dict(PATTERNS))
+    make: object = composed
 
     def __post_init__(self) -> None:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        for stems, kind in ((self.insults, "insult"), (self.threats, "threat")):
+        for stems, kind in ((self.insults, INSULT), (self.threats, VERB)):
             for stem, weight in stems.items():
                 self.automaton.add_word(stem, (len(stem), kind, weight))
         if len(self.automaton):
             self.automaton.make_automaton()
+        self.machine = self.make(self.weights)
+        self.known = lru_cache(1 << 16)(self.machine.run)  # clauses are short and alike
 
     def __reduce__(self):
-        return Grammar, (self.insults, self.threats)
+        return Grammar, (self.insults, self.threats, self.weights, self.make)
 
     def hits(self, low: str) -> list[tuple[int, str, float]]:
-        """Where words begin with a stem: place, kind, weight; of stems of one place the heaviest."""
+        """Where words begin with a stem: place, symbol, weight; of stems of one place the heaviest."""
         best: dict[int, tuple[int, str, float]] = {}
         if len(self.automaton):
             for end, (n, kind, weight) in self.automaton.iter(low):
@@ -76,8 +161,8 @@ class Grammar:
                     best[at] = (at, kind, weight)
         return sorted(best.values())
 
-    def clauses(self, text: str) -> list[tuple[str, float, str]]:
-        """The matched clauses: pattern, weight, clause."""
+    def clauses(self, text: str) -> list[tuple[dict[str, float], float, str]]:
+        """The matched clauses: weights of their stems by pattern, score (with the arcs' weights), clause."""
         low = text.lower()
         hits, out, k = self.hits(low), [], 0
         while k < len(hits):
@@ -88,46 +173,38 @@ class Grammar:
             while k < len(hits) and hits[k][0] < end:
                 marks[hits[k][0]] = hits[k][1:]
                 k += 1
-            out.append((*self.parse(low, begin, end, marks), low[begin:end].strip()))
+            if matched := self.parse(low, begin, end, marks):
+                out.append((*matched, low[begin:end].strip()))
         return out
 
-    def parse(self, low: str, begin: int, end: int, marks: dict[int, tuple[str, float]]) -> tuple[str, float]:
-        """Runs the composed machines over a clause's symbols: its pattern and weight.
-
-        A negation reaches three words ahead, a report to the clause's end; a target counts on either side of an insult.
-        """
-        weights, total = Counter(), 0.0
-        reach, reported, target = 0, False, False
+    def parse(self, low: str, begin: int, end: int, marks: dict[int, tuple[str, float]]) -> tuple[dict[str, float], float] | None:
+        """The machine's path through a clause: weights by pattern and the score; None if nothing matches."""
+        symbols, stems = [], []
         for m in _WORD.finditer(low, begin, end):
+            kind, weight = marks.get(m.start(), (None, 0.0))
             word = m[0]
-            if (hit := marks.get(m.start())) is not None:
-                total += hit[1]
-                state = "reported" if reported else "negated" if reach else hit[0]
-                weights[state] += hit[1]
-            elif word in NEGATIONS:
-                reach = 4
-            elif word in REPORTS:
-                reported = True
-            target |= word in TARGETS
-            reach = max(0, reach - 1)
-        if not weights:
-            return "insult", sum(w for _, w in marks.values())
-        state = max(PATTERNS, key=lambda p: weights[p])
-        return ("insult target" if state == "insult" and target else state), total
+            symbols.append(kind or (NEGATION if word in NEGATIONS else REPORT if word in REPORTS else TARGET if word in TARGETS else WORD))
+            stems.append(weight)
+        path = (self.known if len(symbols) <= 64 else self.machine.run)("".join(symbols))
+        by: dict[str, float] = {}
+        for pattern, weight in zip(path[1], stems, strict=True) if path else ():
+            if pattern:
+                by[pattern] = by.get(pattern, 0.0) + weight
+        return (by, path[0] + sum(by.values())) if by else None
 
     def features(self, text: str) -> list[float]:
-        out = dict.fromkeys(PATTERNS, 0.0)
         found = self.clauses(text)
-        for pattern, weight, _ in found:
-            out[pattern] += weight
-        total = sum(out.values())
-        words = text.count(" ") + text.count("\n") + 1
-        best = max((w for _, w, _ in found), default=0.0)
-        return [math.log1p(v) for v in out.values()] + [math.log1p(total), min(100 * total / words, 20.0) ** 0.5, math.log1p(best), float(total > 0), math.log1p(len(found))]
+        by = dict.fromkeys(PATTERNS, 0.0)
+        for weights, _, _ in found:
+            for pattern, weight in weights.items():
+                by[pattern] += weight
+        scores = [max(score, 0.0) for _, score, _ in found]
+        total, words = sum(scores), text.count(" ") + text.count("\n") + 1
+        return [*map(math.log1p, by.values()), math.log1p(total), min(100 * total / words, 20.0) ** 0.5, math.log1p(max(scores, default=0.0)), float(total > 0), math.log1p(len(found))]
 
 
-#: Without labels: a matched clause weighs in at once, a negated or reported one hardly.
-SEED_MODEL = (np.array([1.0, 1.5, 2.0, -1.0, -1.0, 1.5, 0.5, 0.5, 0.0, 0.0]), -2.0)
+#: Without labels: a matched clause's score weighs in at once; what the patterns are worth is in it already.
+SEED_MODEL = (np.array([*[0.0] * len(PATTERNS), 2.5, 0.5, 1.0, 0.0, 0.0]), -3.5)
 
 
 @dataclass
@@ -141,14 +218,15 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -500, 500)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40, least: float | None = None) -> tuple[np.ndarray, float]:
-    """Logistic regression by Newton's method; the intercept isn't held back."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40, toward: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Logistic regression by Newton's method; the ridge draws the weights toward given ones (0); the intercept isn't held back."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     hold = np.append(np.full(x.shape[1], ridge), 1e-6)
-    w = np.zeros(x1.shape[1])
+    rest = np.append(np.zeros(x.shape[1]) if toward is None else toward, 0.0)
+    w = rest.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        step = np.linalg.solve((x1 * (p * (1 - p) + 1e-9)[:, None]).T @ x1 + np.diag(hold), x1.T @ (y - p) - hold * w)
+        step = np.linalg.solve((x1 * (p * (1 - p) + 1e-9)[:, None]).T @ x1 + np.diag(hold), x1.T @ (y - p) - hold * (w - rest))
         size = np.abs(step).max()
         w += step * min(1, 5 / max(size, 1e-12))
         if size < 1e-6:
@@ -188,8 +266,8 @@ def choose_stems(rows: list[tuple[str, int, int]], n_tox: int, n_rest: int, most
     return chosen
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxicity:
-    """Fits stems and model to labels (doc_id, y: 1 or 0)."""
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, make=composed) -> Toxicity:  # noqa: ANN001
+    """Fits stems, arc weights and model to labels (doc_id, y: 1 or 0); make: the machine of given arc weights."""
     known = labels.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     known = known.where("y = 1").orderBy(*order).limit(max_rows // 2).union(known.where("y = 0").orderBy(*order).limit(max_rows // 2))
@@ -209,15 +287,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxic
                 part = stems[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([k] * len(part), pa.int32()), pa.array([c[s] for s in part], pa.int64())], names=["stem", "y", "n"])
 
-    counts = sample.mapInArrow(counted, "stem string, y int, n long").groupBy("stem").agg(F.sum(F.col("n") * F.col("y")).alias("tox"), F.sum(F.col("n") * (1 - F.col("y"))).alias("rest")).cache()
+    sample = cut(sample)
+    counts = cut(sample.mapInArrow(counted, "stem string, y int, n long").groupBy("stem").agg(F.sum(F.col("n") * F.col("y")).alias("tox"), F.sum(F.col("n") * (1 - F.col("y"))).alias("rest")))
     totals = counts.where("stem = ''").first()
     n_tox, n_rest = (totals["tox"], totals["rest"]) if totals else (0, 0)
     if not n_tox or not n_rest:
-        counts.unpersist()
-        return Toxicity(Grammar(dict.fromkeys(INSULTS, 1.0)), *SEED_MODEL)
+        return Toxicity(Grammar(dict.fromkeys(INSULTS, 2.0), make=make), *SEED_MODEL)
     lift = F.col("tox") * n_rest - F.lit(3) * F.col("rest") * n_tox
     rows = counts.where((F.col("stem") != "") & (F.col("tox") >= max(3, n_tox // 500)) & (lift > 0)).orderBy(F.desc(F.col("tox") - F.col("rest") * (n_tox / n_rest)), "stem").limit(MAX_CANDIDATES).collect()
-    counts.unpersist()
     stems = choose_stems([(r["stem"], r["tox"], r["rest"]) for r in rows], n_tox, n_rest)
     stems += [s for s in INSULTS if not any(s.startswith(c) or c.startswith(s) for c in stems)]
 
@@ -242,9 +319,19 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxic
 
     x, y = by_row(stem_counts)
     weights, _ = logistic(x, y, ridge=0.5)
-    learned = Grammar({s: float(min(w, 8.0)) for s, w in zip(stems, weights, strict=True) if w > 0.05})
+    known = {s: float(min(w, 8.0)) for s, w in zip(stems, weights, strict=True) if w > 0.05}
+    unarmed = Grammar(known, make=make)
+
+    def pattern_counts(text: str) -> list[float]:
+        found = unarmed.clauses(text)
+        return [math.log1p(sum(sum(by.values()) for by, _, _ in found)), *(math.log1p(sum(p in by for by, _, _ in found)) for p in PATTERNS)]
+
+    # the arcs' weights: what a pattern says beside its stems
+    x, y = by_row(pattern_counts)
+    weights, _ = logistic(x, y, ridge=1.0, toward=np.array([2.0, *PATTERNS.values()]))
+    learned = Grammar(known, weights=dict(zip(PATTERNS, map(float, weights[1:]), strict=True)), make=make)
     x, y = by_row(learned.features)
-    return Toxicity(learned, *logistic(x, y, ridge=0.2))
+    return Toxicity(learned, *logistic(x, y, ridge=0.2, toward=SEED_MODEL[0]))
 
 
 def score(docs: DataFrame, model: Toxicity) -> DataFrame:
