@@ -319,6 +319,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, make=com
 
     x, y = by_row(stem_counts)
     weights, _ = logistic(x, y, ridge=0.5)
+    # a seed counts whatever the sample says of the word alone: what it means is up to its pattern
+    weights = [max(w, 1.0) if s in INSULTS else w for s, w in zip(stems, weights, strict=True)]
     known = {s: float(min(w, 8.0)) for s, w in zip(stems, weights, strict=True) if w > 0.05}
     unarmed = Grammar(known, make=make)
 
