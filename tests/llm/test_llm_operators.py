@@ -29,7 +29,7 @@ def documents(spark, rows):
 @pytest.fixture(scope="module")
 def mixed(spark):
     rows = [(k, prose(k), f"s{k % 3}") for k in range(12)]
-    rows += [(20, None, "s0"), (21, "", None), (22, prose(1), "s1"), (23, " ".join(prose(k, 400) for k in range(40)), "s2"), (24, "one", "s0"), (24, "one", "s0"), (25, "\n\n \t", "s1")]
+    rows += [(None, prose(2), "s0"), (None, None, None), (20, None, "s0"), (21, "", None), (22, prose(1), "s1"), (23, " ".join(prose(k, 400) for k in range(40)), "s2"), (24, "one", "s0"), (24, "one", "s0"), (25, "\n\n \t", "s1")]
     return documents(spark, rows)
 
 
@@ -93,6 +93,41 @@ def test_rates_meet_targets(spark):
     assert taken.columns == docs.columns and taken.count() == sum(r.copies for r in rows)
 
 
+def test_rates_against_least_squares(spark):
+    """The steps against the same ones in numpy, and what they end at against many steps of plain projected gradient descent."""
+    r, targets = np.random.default_rng(6), {"a": 0.5, "b": 0.3, "c": 0.2}
+    p = r.dirichlet([0.3, 0.4, 0.5], 300)
+    tokens = r.integers(0, 400, 300)
+    soft = spark.createDataFrame([(int(t), 1, *map(float, q)) for t, q in zip(tokens, p, strict=True)], "n_tokens long, n_rows long, p_a double, p_b double, p_c double").coalesce(1)
+    got = np.array([x.r for x in soft.select("*", mixing.fit_rates(soft, targets).alias("r")).collect()])
+    total, want, first = tokens.sum(), np.array(list(targets.values())), tokens @ p
+    off = lambda rate: np.abs((rate * tokens) @ p / total - want).max()
+    rate = np.ones(300)
+    for _ in range(mixing.STEPS):
+        if off(rate) < 1e-4:
+            break
+        rate = np.maximum(0, rate - p @ (((rate * tokens) @ p - total * want) / first))
+    assert (got >= 0).all() and off(got) < 2e-3 and np.abs(got - rate).max() < 0.02
+    for _ in range(2000):
+        rate = np.maximum(0, rate - p @ (((rate * tokens) @ p - total * want) / first))
+    assert off(rate) < 1e-9 and np.abs(got - rate).max() < 0.05
+    with pytest.warns(UserWarning, match="targets"):
+        mixing.fit_rates(soft, {"a": 0.02, "b": 0.97, "c": 0.01}, steps=1)
+
+
+def test_posteriors_against_naive_bayes(spark):
+    """By brute force over the presence of the model's tokens."""
+    docs = documents(spark, [(k, f"{'red' if k % 2 else 'blue'} common word{k % 5} " + ("scarlet " if k % 6 == 1 else ""), "a") for k in range(60)])
+    labelled = spark.createDataFrame([(k, "warm" if k % 2 else "cold") for k in range(40)], "doc_id long, domain string")
+    model = mixing.classifier(docs, labelled, ["warm", "cold"])
+    weights = {r.token: (r.w_0, r.w_1) for r in model.collect()}
+    got = {r.doc_id: r.p_warm for r in mixing.posteriors(docs, model, ["warm", "cold"]).collect()}
+    for row in docs.collect():
+        there = {w[: mixing.STEM].lower() for w in row.text.split()} | {"\n"}
+        s = [sum(w[k] for t, w in weights.items() if t in there) for k in (0, 1)]
+        assert got[row.doc_id] == pytest.approx(1 / (1 + math.exp(s[1] - s[0])), abs=1e-9) and (got[row.doc_id] > 0.5) == (row.doc_id % 2 == 1)
+
+
 def test_mixing_defined_cases(spark, mixed, nothing):
     none = spark.createDataFrame([], "doc_id long, domain string")
     rows = mixing.rates(mixed, none).collect()
@@ -272,6 +307,35 @@ def test_chat_round_trip(spark):
         assert r.loss_text == "".join(t for role, t in mine if role == "assistant")
 
 
+def test_long_conversation_and_clashing_names(spark):
+    turns = [(1, 9, 1, k, "assistant" if k % 2 else "user", f"text {k} ##" * 3, 0.0, "x", 5) for k in range(3000)] + [(2, 1, 1, 0, "user", "", 0.0, "x", 5)]
+    chats = chat_tree.format_chat(spark.createDataFrame(turns, "conv_id long, leaf_id long, branch int, place long, role string, text string, branch_score double, whole string, n int"))
+    back = {r.conv_id: r for r in chat_tree.read_chat(chats).collect()}
+    assert [(t.role, t.text) for t in back[1].turns] == [(t[4], t[5]) for t in turns if t[0] == 1]
+    assert back[1].loss_text == "".join(t[5] for t in turns if t[4] == "assistant") and back[2].loss_text == ""
+    assert chat_tree.format_chat(spark.createDataFrame(turns, "conv_id long, leaf_id long, branch int, place long, role string, text string, branch_score double, whole string, n int").limit(0)).count() == 0
+
+
+def test_best_branches_against_brute_force(spark):
+    r = random.Random(9)
+    rows = [(c, k, r.choice([None, *range(k)]) if k else None, "user", f"{c}.{k}", float(r.randint(0, 3))) for c in range(20) for k in range(12)]
+    got = {}
+    for x in chat_tree.reply_paths(spark.createDataFrame(rows, "conv_id long, msg_id long, parent_id long, role string, text string, score double"), 3).collect():
+        got.setdefault((x.conv_id, x.branch), []).append((x.place, x.text, x.branch_score))
+    for c in range(20):
+        mine = {k: (up, s) for cc, k, up, _, _, s in rows if cc == c}
+        leaves = set(mine) - {up for up, _ in mine.values()}
+
+        def path(k):
+            return [*(path(mine[k][0]) if mine[k][0] is not None else []), k]
+
+        best = sorted(leaves, key=lambda k: (-sum(mine[m][1] for m in path(k)), -len(path(k)), k))[:3]
+        assert {b for cc, b in got if cc == c} == set(range(1, len(best) + 1))
+        for b, leaf in enumerate(best, 1):
+            score = sum(mine[m][1] for m in path(leaf))
+            assert sorted(got[c, b]) == [(k, f"{c}.{m}", score) for k, m in enumerate(path(leaf))]
+
+
 # 6 digests
 
 

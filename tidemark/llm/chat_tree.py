@@ -14,7 +14,7 @@ role and text; an empty table gives an empty result; other columns are ignored;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, table
@@ -69,18 +69,15 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 
 def format_chat(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per branch: conv_id, leaf_id, branch, formatted, spans (start from 0 and length, in code points, of the texts that bear loss)."""
-    turn = F.struct("place", escape(F.col("role"), True).alias("role"), escape(F.col("text")).alias("text"), F.col("role").isin(*loss_roles).alias("loss"))
-    chat = turns.groupBy("conv_id", "leaf_id", "branch").agg(F.sort_array(F.collect_list(turn)).alias("t"))
-    head = lambda t: F.concat(F.lit("### "), t["role"], F.lit(": "))
-    whole = lambda t: F.concat(head(t), t["text"], F.lit(END + "\n"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("out"))
-
-    def step(acc: Column, t: Column) -> Column:
-        here = acc["at"] + F.length(head(t))
-        span = F.struct(here.cast("long").alias("start"), F.length(t["text"]).cast("long").alias("length"))
-        return F.struct((here + F.length(t["text"]) + len(END) + 1).cast("long").alias("at"), F.when(t["loss"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    return chat.select("conv_id", "leaf_id", "branch", F.array_join(F.transform("t", whole), "").alias("formatted"), F.aggregate("t", start, step, lambda a: a["out"]).alias("spans"))
+    branch = ["conv_id", "leaf_id", "branch"]
+    head, text, end = F.concat(F.lit("### "), escape(F.col("role"), True), F.lit(": ")), escape(F.col("text")), F.lit(END + "\n")
+    # a turn's place in the text is the running sum of the lengths before it
+    before = F.sum(F.length("whole")).over(Window.partitionBy(*branch).orderBy("place")) - F.length("whole")
+    parts = turns.select(*branch, "place", F.concat(head, text, end).alias("whole"), F.length(head).alias("head"), F.length(text).alias("n"), F.col("role").isin(*loss_roles).alias("loss"))
+    span = F.struct((before + F.col("head")).cast("long").alias("start"), F.col("n").cast("long").alias("length"))
+    chat = parts.withColumn("span", span).groupBy(*branch).agg(F.sort_array(F.collect_list(F.struct("place", "whole", "span", "loss"))).alias("t"))
+    spans = F.transform(F.filter("t", lambda t: t["loss"]), lambda t: t["span"])
+    return chat.select(*branch, F.array_join(F.transform("t", lambda t: t["whole"]), "").alias("formatted"), spans.alias("spans"))
 
 
 def read_chat(chats: DataFrame) -> DataFrame:

@@ -17,12 +17,16 @@ kept by take().
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, table
 
 MAX_ROWS, MAX_TOKENS, STEPS = 6000, 600, 25
+#: Letters that a word's stem has at most: endings say little of a domain. Every word of a text counts.
+STEM = 5
 #: Of the labels' domains: good text, toxic text, and text of low quality.
 TARGETS = {"clean": 0.97, "toxic": 0.02, "junk": 0.01}
 _MARKS = "$%&*#@|!^~+=<>{}[]\\/_`"
@@ -39,7 +43,7 @@ def _words(text: Column) -> Column:
 
 
 def _tokens(text: Column, words: Column) -> Column:
-    """The distinct beginnings of five letters of a text's words, and tokens of its shape."""
+    """The distinct stems of a text's words, and tokens of its shape."""
     n = F.greatest(F.size(words), F.lit(1))
     left = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
     level = lambda name, share: F.concat(F.lit(name + "\n"), F.floor(F.least(share, F.lit(1.0)) * 10).cast("string"))
@@ -47,7 +51,7 @@ def _tokens(text: Column, words: Column) -> Column:
         F.lit(_BASE), level("marks", left(_MARKS) / n), level("capitals", left(_CAPITALS) / F.greatest(F.length(text), F.lit(1))),
         level("kinds", F.size(F.array_distinct(words)) / n),
     )
-    return F.concat(shape, F.array_distinct(F.transform(words, lambda w: F.lower(w.substr(1, 5)))))
+    return F.concat(shape, F.array_distinct(F.transform(words, lambda w: F.lower(w.substr(1, STEM)))))
 
 
 def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], max_rows: int = MAX_ROWS, max_tokens: int = MAX_TOKENS) -> DataFrame:
@@ -96,7 +100,8 @@ def fit_rates(soft: DataFrame, targets: dict[str, float], budget: float | None =
     """The rate of a row of posteriors(), as an expression of its p_<domain>.
 
     budget: tokens in all, by default as many as there are. Rates start at 1; a step moves each by the posterior mean of the
-    domains' relative errors, which no step size of 1 or less makes overshoot, and sets it to 0 at least.
+    domains' relative errors, which no step size of 1 or less makes overshoot, and sets it to 0 at least. If the domains' tokens
+    aren't `close` to their targets after `steps`, a warning says how far they are off.
     """
     names = list(targets)
     mass = lambda rate: [F.sum(rate * F.col("n_rows") * F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in names]
@@ -111,6 +116,10 @@ def fit_rates(soft: DataFrame, targets: dict[str, float], budget: float | None =
             break
         rate = F.greatest(F.lit(0.0), rate - sum((F.lit(e) * F.col(f"p_{d}") for d, e in error.items()), F.lit(0.0)))
         now = soft.agg(*mass(rate)).first()
+    else:
+        off = {d: now[d] / total - targets[d] / weight for d in there} if total else {}
+        if any(abs(e) > close for e in off.values()):
+            warnings.warn(f"The targets aren't met after {steps} steps; shares of tokens off by {off}", stacklevel=2)
     return rate
 
 
