@@ -31,6 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _path(spark: SparkSession, path: str):  # noqa: ANN202
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    files, where = _path(spark, path)
+    files.delete(where, True)
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system when the JVM ends."""
+    files, where = _path(spark, path)
+    files.deleteOnExit(where)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: later jobs start here, also after an executor is lost.
 
@@ -39,9 +56,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
