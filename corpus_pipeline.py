@@ -9,6 +9,13 @@
 
 No stage can be expressed in SQL as a whole (learned scores, token ids), so ORACLE_SQL is None; the tests hold the stages against
 brute force.
+
+Defined cases: a null text is empty and kept by its score as any text; a null doc_id, repeated rows and ties are rows as any other
+until the join, which keeps one row of each group of similar texts (blank texts are similar to nothing); a missing n_chars column
+stays missing, a present one holds the length of the text as the line dedup left it; other columns travel along untouched up to the
+packing, whatever their names; empty documents or labels give empty or unfiltered tables.
+
+A stage's table goes when the next one is written, the last one when the JVM ends.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import line_spread, mixing, overlap_join, packing, quality
-from tidemark.llm.common import shared_dir, table
+from tidemark.llm.common import drop, drop_at_exit, shared_dir, table
 
 ORACLE_SQL = None
 
@@ -59,7 +66,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     root = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{root}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
+        docs = spark.read.parquet(f"{root}/{k}")
+        if k:
+            drop(spark, f"{root}/{k - 1}")
+    drop_at_exit(spark, root)
     return docs
