@@ -101,31 +101,53 @@ def test_fuzzy_merge(spark):
 
 
 def loop_brute(texts):
-    out, at = [False] * len(texts), 0
-    while at < len(texts):
-        for p, times in ((1, 4), (2, 3), (3, 3)):
-            n = 1
-            while at + (n + 1) * p <= len(texts) and texts[at + n * p : at + n * p + p] == texts[at : at + p]:
-                n += 1
-            if n >= times and any(len(t) > 1 for t in texts[at : at + p]):
-                for k in range(at, at + n * p):
-                    out[k] = True
-                at += n * p
-                break
-        else:
-            at += 1
-    return out
+    """A pattern of 1, 2 or 3 texts, 4, 3 or 3 times or more: for each length the list is scanned by itself, and a hit is skipped."""
+    texts, hit = [t.replace("[?] ", "").strip() for t in texts], set()
+    for p, least in ((1, 4), (2, 3), (3, 3)):
+        at = 0
+        while at + p * least <= len(texts):
+            times = 0
+            while texts[at + times * p : at + times * p + p] == texts[at : at + p]:
+                times += 1
+            if times >= least and max(map(len, texts[at : at + p])) > 1:
+                hit |= set(range(at, at + times * p))
+                at += times * p
+            else:
+                at += 1
+    return [k in hit for k in range(len(texts))]
 
 
 def test_loops(spark):
-    assert corruption.loop_rows(["bb", "aa"] * 3) == [True] * 6
-    assert corruption.loop_rows(["bb", "aa"] * 3 + ["bb"]) == [True] * 6 + [False]
-    r = random.Random(3)
-    for _ in range(500):
-        texts = [r.choice(["aa", "bb", "c"]) for _ in range(r.randint(0, 14))]
-        assert corruption.loop_rows(texts) == loop_brute(texts)
-    frame = spark.createDataFrame([(1, k, "aa") for k in range(5)], "stream int, pos int, text string")
-    assert all(x.in_loop for x in corruption.loops(frame).collect())
+    assert loop_brute(["bb", "aa"] * 3 + ["bb"]) == [True] * 6 + [False]
+    r, lists = random.Random(3), [["bb", "aa"] * 3, ["bb", "aa"] * 3 + ["bb"], ["[?] aa", "aa ", "aa", "aa"], ["c"] * 9, ["c", "c"] * 4 + ["aa"], ["aa", None, "aa", None, "aa", None]]
+    lists += [[r.choice(["aa", "bb", "c", "[?] aa"][: 2 + n % 3]) for _ in range(r.randint(0, 24))] for n in range(3000)]
+    rows = [(n, f"k{n % 2}", k, t) for n, texts in enumerate(lists) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "stream int, other string, pos int, text string")
+    got = {(x.stream, x.pos): x.in_loop for x in corruption.loops(frame, ("stream", "other")).collect()}
+    assert len(got) == len(rows)
+    for n, texts in enumerate(lists):
+        assert [got[n, k] for k in range(len(texts))] == loop_brute([t or "" for t in texts]), texts
+    assert corruption.loops(frame.limit(0), ("stream", "other")).count() == 0
+
+
+def test_statuses_and_segments(spark):
+    chunks = spark.createDataFrame([(1, k, c, "x" * n, f"t{k}") for k, (c, n) in enumerate([("a", 3499), ("b", 3501), ("c", 4501), ("d", 3000), ("d", 1600)])], "stream int, idx int, category string, text string, ts string")
+    got = [(x.category, x.bytes, x.status) for x in markers.category_blocks(chunks).orderBy("island").collect()]
+    assert got == [("a", 3500, "OK"), ("b", 3501, "WARN"), ("c", 4501, "OVER"), ("d", 4601, "OVER")]
+    moods = spark.createDataFrame([("c1", [(0, 90, "pulse"), (60, 200, "natural")]), ("c2", []), ("c3", None)], "chunk string, segments array<struct<start:long,end:long,mood:string>>")
+    m = spark.createDataFrame([("c1", 0), ("c1", 70), ("c1", 90), ("c1", 300), ("c2", 5), ("c3", 5), ("c4", 5)], "chunk string, sec long")
+    assert sorted((x.chunk, x.sec, x.in_pulse) for x in markers.in_segment(m, moods).collect()) == [("c1", 0, True), ("c1", 70, True), ("c1", 90, False), ("c1", 300, False), ("c2", 5, True), ("c3", 5, True), ("c4", 5, True)]
+
+
+def test_lookups(spark):
+    files = spark.createDataFrame([("/x/livechat_chunk_07.txt",), ("livechat_chunk_08.txt",), ("other.txt",)], "file string")
+    index = spark.createDataFrame([(1, "late", "b/livechat_chunk_07.txt"), (0, "chunk_7", "a/livechat_chunk_07.txt")], "pos int, chunk string, file string")
+    assert {x.file: x.chunk for x in catalog.chunk_of_file(files, index).collect()} == {"/x/livechat_chunk_07.txt": "chunk_7", "livechat_chunk_08.txt": "chunk_08", "other.txt": "other"}
+    blocks = spark.createDataFrame([(1, "The Boss and the end"), (2, "only an end"), (3, "none")], "block int, text string")
+    hits = spark.createDataFrame([("end", "c2", "00:01:00")], "keyword string, chunk string, ts string")
+    assert {x.block: (x.keyword, x.chunk) for x in catalog.align_reference(blocks, ["boss", "end"], hits).collect()} == {1: ("boss", None), 2: ("end", "c2"), 3: (None, None)}
+    known = spark.createDataFrame([(1, "t", None)], "block int, topic string, n int")
+    assert sorted(map(tuple, catalog.with_defaults(blocks.drop("text"), known, "block", {"topic": "unknown", "n": 0}).collect())) == [(1, "t", 0), (2, "unknown", 0), (3, "unknown", 0)]
 
 
 def test_loop_scores(spark):
@@ -226,7 +248,9 @@ def test_retag(spark):
 
 
 def test_titles_and_flips(spark):
-    rows = [(0, k, k, d, m) for k, (d, m) in enumerate([("Ann: first thing", "A"), ("second", "B"), ("First Thing", "A"), ("third", "B"), ("fourth", "A")])]
+    rows = [(0, k, k, d, m) for k, (d, m) in enumerate([("คุยเรื่อง first thing", "A"), ("Ann: second", "B"), ("First Thing", "A"), ("third " + "word " * 9, "B"), ("fourth", "A")])]
     frame = spark.createDataFrame(rows, "part int, sec int, seq int, desc string, macro string")
-    assert markers.titles(frame).first().title == "first thing | third | fourth"
+    assert markers.titles(frame).first().title == "first thing | third word word word word word | fourth"
+    assert markers.titles(frame.withColumn("topic_label", F.when(F.col("seq") == 0, "The topic"))).first().title == "The topic"
+    assert markers.titles(frame.withColumn("topic_label", F.lit(None).cast("string"))).first().title.startswith("first thing")
     assert markers.tag_flips(frame).first().flips == 3

@@ -180,6 +180,11 @@ def escape_xml(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
+def unescape_xml(text: Column) -> Column:
+    """escape_xml() undone."""
+    return F.replace(F.replace(F.replace(text, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+
+
 def has_cue(text: Column, cues: Sequence[str]) -> Column:
     """Whether any of the regular expressions matches, in any case."""
     return text.rlike("(?iu)" + "|".join(f"(?:{c})" for c in cues)) if cues else F.lit(False)

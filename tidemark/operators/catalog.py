@@ -33,6 +33,35 @@ def lookup(candidates: DataFrame, entities: DataFrame, names: tuple[str, ...], c
     return candidates.withColumn("_k", F.lower(candidate)).join(entities.withColumn("_k", pairs), "_k").drop("_k")
 
 
+def align_reference(blocks: DataFrame, keywords: list[str], hits: DataFrame, text: str = "text") -> DataFrame:
+    """blocks with keyword (the first of the list that their text holds, in any case) and the columns of its first hit.
+
+    hits: keyword and any others, a row per keyword that was found, so it is a dictionary's size; a keyword without a hit ends the
+    search as well, its columns are null.
+    """
+    low = F.lower(text)
+    found = F.coalesce(*(F.when(F.contains(low, F.lit(k.lower())), F.lit(k)) for k in keywords)) if keywords else F.lit(None).cast("string")
+    return blocks.withColumn("keyword", found).join(F.broadcast(hits), "keyword", "left")
+
+
+def chunk_of_file(files: DataFrame, index: DataFrame, file: str = "file") -> DataFrame:
+    """files with chunk: the first of the index whose file has the same name, else the name without its chat prefix and suffix.
+
+    index: pos, chunk, file (with or without folders).
+    """
+    name = lambda c: F.regexp_replace(c, r"^.*/", "")
+    first = index.groupBy(name("file").alias("_n")).agg(F.min_by("chunk", "pos").alias("_c"))
+    both = files.withColumn("_n", name(file)).join(first, "_n", "left")
+    plain = F.replace(F.regexp_replace("_n", r"\.[^.]*$", ""), F.lit("livechat_chunk_"), F.lit("chunk_"))
+    return both.withColumn("chunk", F.coalesce("_c", plain)).drop("_n", "_c")
+
+
+def with_defaults(rows: DataFrame, looked_up: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
+    """rows with the columns of what is known of their key, or its defaults."""
+    both = rows.join(looked_up.select(key, *defaults), key, "left")
+    return both.select(*rows.columns, *(F.coalesce(F.col(c), F.lit(d)).alias(c) for c, d in defaults.items()))
+
+
 def to_text_columns(rows: DataFrame) -> DataFrame:
     """Nested columns as JSON."""
     nested = {f.name for f in rows.schema if f.dataType.typeName() in ("array", "struct", "map")}

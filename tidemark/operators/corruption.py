@@ -13,10 +13,23 @@ from tidemark.operators.windows import islands, ordered, runs, slices
 
 
 def top_grams(rows: DataFrame, keys: tuple[str, ...], text: str = "text", threshold: float = 0.4, least: int = 3) -> DataFrame:
-    """keys, top_gram, top_count, n_grams, score, looped: the n-gram counted most, of equal ones the first."""
-    grams = rows.select(*keys, F.posexplode(loop_grams(F.col(text))).alias("_pos", "_gram"))
-    counts = grams.groupBy(*keys, "_gram").agg(F.count("*").alias("_n"), F.min("_pos").alias("_pos"))
-    top = counts.groupBy(*keys).agg(F.max_by("_gram", F.struct("_n", -F.col("_pos"))).alias("top_gram"), F.max("_n").alias("top_count"), F.sum("_n").alias("n_grams"))
+    """keys, top_gram, top_count, n_grams, score, looped: the n-gram counted most, of equal ones the first; no row without n-grams.
+
+    A row's n-grams are counted where it stands: sorted, equal ones are together, and one pass over them finds the largest group.
+    """
+    grams = F.sort_array(F.transform(loop_grams(F.col(text)), lambda g, i: F.struct(g.alias("g"), i.alias("at"))))
+    start = F.expr("named_struct('g', cast(null as string), 'at', 0, 'n', 0, 'top', cast(null as string), 'top_at', 0, 'top_n', 0)")
+
+    def step(acc, x):  # noqa: ANN001, ANN202
+        more = acc["g"].eqNullSafe(x["g"])
+        n, at = F.when(more, acc["n"] + 1).otherwise(1), F.when(more, acc["at"]).otherwise(x["at"])
+        better = (n > acc["top_n"]) | ((n == acc["top_n"]) & (at < acc["top_at"]))
+        pick = lambda new, old: F.when(better, new).otherwise(old)
+        return F.struct(x["g"].alias("g"), at.alias("at"), n.alias("n"), pick(x["g"], acc["top"]).alias("top"), pick(at, acc["top_at"]).alias("top_at"), pick(n, acc["top_n"]).alias("top_n"))
+
+    found = rows.select(*keys, grams.alias("_g")).where(F.size("_g") > 0)
+    found = found.select(*keys, F.aggregate("_g", start, step).alias("_t"), F.size("_g").cast("bigint").alias("n_grams"))
+    top = found.select(*keys, F.col("_t.top").alias("top_gram"), F.col("_t.top_n").cast("bigint").alias("top_count"), "n_grams")
     score = F.round(F.col("top_count") / F.col("n_grams"), 3)
     return top.withColumn("score", score).withColumn("looped", (F.col("top_count") >= least) & (F.col("top_count") / F.col("n_grams") >= threshold))
 
@@ -60,32 +73,46 @@ def collapse_repeats(rows: DataFrame, least: int = 3, longer: int = 2, fillers:
     return found.where(keep).select(*rows.columns)
 
 
-def loop_rows(texts: list[str], longest: int = 3, times: tuple[int, ...] = (4, 3, 3)) -> list[bool]:
-    """Which rows stand in a loop: a pattern of 1, 2 or 3 texts, 4, 3 or 3 times or more in a row, scanned greedily."""
-    out, at = [False] * len(texts), 0
-    while at < len(texts):
-        step = 1
-        for p in range(1, longest + 1):
-            pattern, n = texts[at : at + p], 1
-            while len(pattern) == p and texts[at + n * p : at + (n + 1) * p] == pattern:
-                n += 1
-            if n >= times[p - 1] and any(len(t) > 1 for t in pattern):
-                out[at : at + n * p] = [True] * (n * p)
-                step = n * p
-                break
-        at += step
-    return out
-
-
-def loops(rows: DataFrame, keys: tuple[str, ...] = ("stream",), order: tuple[str, ...] = ("pos",), text: str = "text") -> DataFrame:
-    """rows with in_loop. The scan depends on what it has marked, so it runs stream by stream over the texts alone."""
-
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(list(order), kind="stable")
-        return part.assign(in_loop=loop_rows(part[text].fillna("").tolist()))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", in_loop boolean"
-    return rows.groupBy(*keys).applyInPandas(scan, schema)
+#: A loop is a pattern of so many texts, so many times or more in a row.
+LOOPS = {1: 4, 2: 3, 3: 3}
+
+
+def loops(rows: DataFrame, keys: tuple[str, ...] = ("stream",), order: tuple[str, ...] = ("pos",), text: str = "text", times: dict[int, int] = LOOPS, mark: str = "[?] ") -> DataFrame:
+    """rows with in_loop: in a pattern of 1, 2 or 3 texts (without marks), of which one is longer than a character, that recurs.
+
+    Each length of pattern is scanned by itself, from a stream's beginning and without overlaps, and what any scan marks counts.
+    A text that equals the one p before it continues a region of period p. Where a region begins before the marked part of the one
+    before ends, the scan enters it there, so the regions (few rows) stream by in order with that end as all the state. A region is
+    marked in whole patterns; its odd tail stays unmarked.
+    """
+    w = ordered(keys, order)
+    plain = rows.withColumn("_k", F.row_number().over(w)).withColumn("_t", F.trim(F.replace(F.coalesce(text, F.lit("")), F.lit(mark)), F.lit(" \t\r\n\f")))
+    by_k = ordered((*keys, "_p"), ("_k",))
+    lagged = plain.select(*keys, "_k", "_t", *(F.lag("_t", p).over(w).alias(f"_{p}") for p in times))
+    same = lagged.select(*keys, "_k", "_t", F.explode(F.array_compact(F.array(*(F.when(F.col("_t") == F.col(f"_{p}"), F.lit(p)) for p in times)))).alias("_p"))
+    regions = same.withColumn("_g", F.col("_k") - F.row_number().over(by_k)).groupBy(*keys, "_p", "_g").agg(F.min("_k").alias("_from"), F.max("_k").alias("_end"), F.max(F.length("_t") > 1).alias("_long"))
+    least = F.element_at(F.create_map(*(F.lit(x) for kv in times.items() for x in kv)), F.col("_p"))
+    regions = regions.select(*keys, "_p", (F.col("_from") - F.col("_p")).cast("bigint").alias("_from"), F.col("_end").cast("bigint").alias("_end")).where(F.col("_long") & (F.col("_end") - F.col("_from") + 1 >= F.col("_p") * least))
+    names = [f"_x{k}" for k in range(len(keys))]
+
+    def scanned(batches):  # noqa: ANN001, ANN202
+        key, done = None, 0
+        for batch in batches:
+            marked = []
+            for *k, p, first, end in zip(*(batch[c] for c in [*keys, "_p", "_from", "_end"]), strict=True):
+                if (*k, p) != key:
+                    key, done = (*k, p), 0
+                first = max(first, done + 1)
+                n = (end - first + 1) // p
+                if n >= times[p]:
+                    done = first + n * p - 1
+                    marked.append((*k, first, done))
+            yield pd.DataFrame(marked, columns=[*names, "_from", "_end"])
+
+    schema = ", ".join([*(f"{n} {rows.schema[c].dataType.simpleString()}" for n, c in zip(names, keys, strict=True)), "_from bigint", "_end bigint"])
+    marks = regions.repartition(*keys, "_p").sortWithinPartitions(*keys, "_p", "_from").mapInPandas(scanned, schema)
+    places = marks.select(*(F.col(n).alias(c) for n, c in zip(names, keys, strict=True)), F.explode(F.sequence("_from", "_end")).alias("_k")).distinct().withColumn("in_loop", F.lit(True))
+    return plain.join(places, [*keys, "_k"], "left").select(*rows.columns, F.coalesce("in_loop", F.lit(False)).alias("in_loop"))
 
 
 def corrupt_ranges(rows: DataFrame, keys: tuple[str, ...] = ("stream",), order: tuple[str, ...] = ("pos",), start: str = "start_ms", end: str = "end_ms", length: int = 30_000) -> DataFrame:

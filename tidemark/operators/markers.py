@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
@@ -10,13 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import byte_status, clean_title, jaccard, let, tokens
-from tidemark.operators.windows import confirmed, islands, ordered, runs
+from tidemark.operators.windows import islands, ordered, runs
 
 # Tags by what they belong to.
 MACROS = {
     "Talk": "TALK", "Reaction": "TALK", "Donation": "TALK", "Chat": "TALK", "Greeting": "TALK", "Story": "TALK",
     "Gameplay": "GAMEPLAY", "Boss": "GAMEPLAY", "Victory": "GAMEPLAY", "News": "NEWS", "WatchParty": "NEWS", "Gacha": "NEWS",
 }
+# What descriptions open with beside their subject.
+OPENINGS = ("ปู่โบ๊ต", "พูดถึง", "วิเคราะห์", "คุยเรื่อง", "ดู", "รับชม", "เปิดดู", "เล่าข่าว", "แสดงความคิดเห็นเกี่ยวกับ", "ตอบแชตเรื่อง", "ถกประเด็น")
 
 
 def primary_tag(tag: Column, macros: dict[str, str] = MACROS) -> Column:
@@ -90,10 +93,6 @@ def collapse(rows: DataFrame, tag: str = "[Story]", keys: tuple[str, ...] = ("st
     return rows.withColumn("_b", before).where(~((F.col("tag") == tag) & F.col("_b").eqNullSafe(F.lit(tag)))).drop("_b")
 
 
-def cluster_by_tag(rows: DataFrame, column: str = "macro", keys: tuple[str, ...] = ("stream",), order: tuple[str, ...] = ("sec", "seq")) -> DataFrame:
-    return confirmed(rows, column, keys, order)
-
-
 def cluster_by_topic(rows: DataFrame, keys: tuple[str, ...] = ("stream",), order: tuple[str, ...] = ("sec", "seq"), label: str = "label") -> DataFrame:
     """Islands (seg) of an equal label; rows without one stand alone."""
     before = F.lag(label).over(ordered(keys, order))
@@ -202,16 +201,23 @@ def part_sizes(rows: DataFrame, keys: tuple[str, ...] = ("stream", "part"), text
     return out.withColumn("status", byte_status(F.col("bytes")))
 
 
-def titles(rows: DataFrame, keys: tuple[str, ...] = ("part",), order: tuple[str, ...] = ("sec", "seq"), longest: int = 95, phrase: int = 35) -> DataFrame:
-    """keys, title: the first, middle and last distinct descriptions, without speakers, cut short and joined."""
-    short = F.regexp_replace("desc", r"^\s*[^:\s]{1,20}:\s+", "")
-    short = F.when(F.length(short) <= phrase, short).otherwise(F.regexp_replace(short.substr(1, phrase), r"\s+\S*$", ""))
+def titles(rows: DataFrame, keys: tuple[str, ...] = ("part",), order: tuple[str, ...] = ("sec", "seq"), longest: int = 95, phrase: int = 35, openings: Sequence[str] = OPENINGS) -> DataFrame:
+    """keys, title: the label of the first row's topic (topic_label, if rows have it), else the first, middle and last distinct
+    descriptions, without what they open with, cut short at a space and joined."""
+    desc = F.trim("desc")
+    plain = F.regexp_replace(desc, rf"^(?:{'|'.join(map(re.escape, openings))})\s*", "")
+    short = F.when(plain == "", desc).otherwise(plain)
+    short = F.when(F.length(short) <= phrase, short).otherwise(F.regexp_replace(short.substr(1, phrase), " [^ ]*$", ""))
     texts = rows.withColumn("_s", short).where("_s <> ''").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, "_s"))).alias("x"))
     firsts = lambda low: F.transform("x", lambda r, i: F.when(F.array_position(low, F.lower(r["_s"])) == i + 1, r["_s"]))
     texts = texts.withColumn("d", F.array_compact(let(F.transform("x", lambda r: F.lower(r["_s"])), firsts)))
     n = F.size("d")
     picked = F.when(n <= 3, F.col("d")).otherwise(F.array(F.get("d", F.lit(0)), F.get("d", F.floor(n / 2).cast("int")), F.get("d", n - 1)))
-    return texts.select(*keys, clean_title(F.array_join(picked, " | "), longest).alias("title"))
+    joined = texts.select(*keys, clean_title(F.array_join(picked, " | "), longest).alias("title"))
+    if "topic_label" not in rows.columns:
+        return joined
+    first = rows.groupBy(*keys).agg(F.min_by("topic_label", F.struct(*order)).alias("_label"))
+    return first.join(joined, list(keys), "left").select(*keys, F.when(F.coalesce("_label", F.lit("")) != "", clean_title(F.col("_label"))).otherwise(F.col("title")).alias("title"))
 
 
 def tag_diversity(rows: DataFrame, keys: tuple[str, ...] = ("part",), column: str = "macro", allowed: Sequence[str] = ("GAMEPLAY", "TALK")) -> DataFrame:
@@ -249,17 +255,24 @@ def unsupported_names(rows: DataFrame, allowed: DataFrame, key: str = "chunk") -
     return both.where(~related).select(*rows.columns)
 
 
-def runs_of(rows: DataFrame, column: str, keys: tuple[str, ...] = ("stream",), order: tuple[str, ...] = ("sec", "seq")) -> DataFrame:
-    return runs(rows, column, keys, order)
-
-
-def category_blocks(chunks: DataFrame, keys: tuple[str, ...] = ("stream",), order: tuple[str, ...] = ("idx",), category: str = "category", text: str = "text", show: str = "ts", warn: int = 3500) -> DataFrame:
+def category_blocks(chunks: DataFrame, keys: tuple[str, ...] = ("stream",), order: tuple[str, ...] = ("idx",), category: str = "category", text: str = "text", show: str = "ts", warn: int = 3500, over: int = 4500) -> DataFrame:
     """keys, island, category, first_ts, last_ts, n_chunks, bytes, status: neighbouring chunks of a category, their texts joined by spaces."""
     found = runs(chunks, category, keys, order).withColumn("_b", F.octet_length(text) + 1)
     k = F.struct(*order)
     out = found.groupBy(*keys, "island", category).agg(F.min_by(show, k).alias("first_ts"), F.max_by(show, k).alias("last_ts"), F.count("*").alias("n_chunks"), F.sum("_b").alias("bytes"))
     out = out.withColumn("bytes", F.when(F.col("island") == 0, F.col("bytes")).otherwise(F.col("bytes") - 1))  # the first one has a leading space
-    return out.withColumn("status", F.when(F.col("bytes") > warn, "WARN").otherwise("OK"))
+    return out.withColumn("status", byte_status(F.col("bytes"), warn, over))
+
+
+def in_segment(markers: DataFrame, moods: DataFrame, key: str = "chunk", sec: str = "sec", natural: str = "natural") -> DataFrame:
+    """markers with in_pulse: whether the first segment of their chunk that holds them isn't a natural one.
+
+    moods: chunk, segments (array of start, end, mood). Outside of all segments it is false; a chunk without segments counts whole.
+    """
+    there = markers.join(moods.select(key, F.col("segments").alias("_s")), key, "left")
+    first = F.get(F.filter("_s", lambda s: (s["start"] <= F.col(sec)) & (F.col(sec) < s["end"])), F.lit(0))
+    pulse = F.when(F.coalesce(F.size("_s"), F.lit(0)) <= 0, True).otherwise(F.coalesce(first["mood"] != natural, F.lit(False)))
+    return there.withColumn("in_pulse", pulse).drop("_s")
 
 
 def sparse_parts(parts: DataFrame, least: int, limit: int, keys: tuple[str, ...] = ("stream",), order: tuple[str, ...] = ("part",)) -> DataFrame:

@@ -35,21 +35,31 @@ def idf(hits: DataFrame, n_chunks: int, key: str = "chunk") -> DataFrame:
 
 
 def weighted(hits: DataFrame, rarity: DataFrame, by: str, key: str = "chunk") -> DataFrame:
-    """chunk, by, score, share, rank: sums of count * idf by file or kind; equal scores rank by the keywords' order."""
-    scores = hits.join(rarity, "keyword").where(F.col(by).isNotNull()).groupBy(key, by).agg(F.round(F.sum(F.col("n") * F.col("idf")), 4).alias("score"), F.min("kw_pos").alias("_pos"))
+    """chunk, by, score, share, rank: sums of count * idf by file or kind; equal scores rank by the keywords' order.
+
+    rarity has a row per keyword: it is broadcast, as the dictionary is.
+    """
+    scores = hits.join(F.broadcast(rarity), "keyword").where(F.col(by).isNotNull()).groupBy(key, by).agg(F.round(F.sum(F.col("n") * F.col("idf")), 4).alias("score"), F.min("kw_pos").alias("_pos"))
     total = F.sum("score").over(Window.partitionBy(key))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "_pos"))
     return scores.select(key, by, "score", F.round(F.coalesce(F.try_divide("score", total), F.lit(0.0)), 3).alias("share"), rank.cast("bigint").alias("rank"))
 
 
 def best_files(hits: DataFrame, rarity: DataFrame, key: str = "chunk") -> DataFrame:
-    """chunk, best_file (of a score over 0), confidence, primary_topic."""
-    files = weighted(hits, rarity, "file", key).where("rank = 1")
-    kinds = weighted(hits, rarity, "kind", key).where("rank = 1").select(key, F.col("kind").alias("_kind"))
-    top = files.select(key, F.when(F.col("score") > 0, F.col("file")).alias("best_file"), F.when(F.col("score") > 0, F.col("share")).otherwise(0.0).alias("confidence"))
+    """chunk, best_file (of a score over 0), confidence, primary_topic.
+
+    Files and kinds are scored in one pass over the hits, which meet by chunk alone: one shuffle. rarity is a dictionary's size.
+    """
+    scored = hits.repartition(key).join(F.broadcast(rarity.select("keyword", "idf")), "keyword")
+    each = F.explode(F.array(F.struct(F.lit("file").alias("by"), F.col("file").alias("name")), F.struct(F.lit("kind").alias("by"), F.col("kind").alias("name"))))
+    sums = scored.select(key, "kw_pos", (F.col("n") * F.col("idf")).alias("_s"), each.alias("_e")).where("_e.name is not null").groupBy(key, F.col("_e.by").alias("_by"), F.col("_e.name").alias("_name")).agg(F.round(F.sum("_s"), 4).alias("score"), F.min("kw_pos").alias("_pos"))
+    first = lambda by: F.max_by(F.struct("_name", "score"), F.when(F.col("_by") == by, F.struct("score", -F.col("_pos"))))
+    best = sums.groupBy(key).agg(first("file").alias("_f"), first("kind").alias("_k"), F.sum(F.when(F.col("_by") == "file", F.col("score"))).alias("_all")).where("_k is not null")
+    share = F.round(F.coalesce(F.try_divide(F.col("_f.score"), F.col("_all")), F.lit(0.0)), 3)
+    top = best.select(key, F.when(F.col("_f.score") > 0, F.col("_f._name")).alias("best_file"), F.when(F.col("_f.score") > 0, share).otherwise(0.0).alias("confidence"), "_k")
     stem = F.regexp_replace("best_file", r"^.*/|\.md$", "")
-    topic = F.when(F.col("best_file").isNotNull(), F.concat(display_name(stem), F.lit(" ("), stem, F.lit(")"))).otherwise(F.col("_kind"))
-    return kinds.join(top, key, "left").select(key, "best_file", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), topic.alias("primary_topic"))
+    topic = F.when(F.col("best_file").isNotNull(), F.concat(display_name(stem), F.lit(" ("), stem, F.lit(")"))).otherwise(F.col("_k._name"))
+    return top.select(key, "best_file", "confidence", topic.alias("primary_topic"))
 
 
 def boundaries(chunks: DataFrame, threshold: float = 0.3, time_gap: float = 600, near: int = 2, keys: tuple[str, ...] = ("stream",), index: str = "idx") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import catalog as ops
 from tidemark.plans import views
-from tidemark.plans.views import SQL_ITEMS, SQL_LINES, registry
+from tidemark.plans.views import SQL_CHAT, SQL_ITEMS, SQL_LINES, registry
 from tidemark.sources.transcripts import srt_blocks
 
 QUERIES, ORACLES, query = registry()
@@ -28,10 +28,10 @@ def zip_names(spark, sf):
     return ops.zip_names(g, {"keys": "en", "pri": "local", "st": "third"}, ("cust",))
 
 
-@query("select l_orderkey as card, l_linenumber as set_no, l_partkey as set_code, l_returnflag as rarity from lineitem")
+@query("""select event_id as card, key, json_extract_string(props, '$.' || key) as value from (select event_id, props, unnest(json_keys(props)) as key from events)""")
 def explode_children(spark, sf):
-    cards = views.read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("card")).agg(F.collect_list(F.struct(F.col("l_linenumber").alias("set_no"), F.col("l_partkey").alias("set_code"), F.col("l_returnflag").alias("rarity"))).alias("card_sets"))
-    return ops.children(cards, "card_sets", ("card",))
+    cards = views.read(spark, sf, "events").select(F.col("event_id").alias("card"), F.map_entries(F.from_json("props", "map<string,string>")).alias("entries"))
+    return ops.children(cards, "entries", ("card",))
 
 
 @query("""with c as (select c_custkey, c_mktsegment, n_name as candidate, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
@@ -46,12 +46,12 @@ def entity_lookup(spark, sf):
 
 
 @query(f"""with {SQL_LINES}, w as (select doc, pos, lower(string_split(line, ' ')[1]) as target, lower(string_split(line, ' ')[2]) as pattern from lines where len(string_split(line, ' ')) >= 2),
-u as (select target, pattern, min(doc * 100000 + pos) as o from w group by 1, 2)
-select target, string_agg(pattern, ',' order by o, pattern) as patterns, count(*) as n from u group by target""")
+u as (select target, pattern, doc, pos from (select *, row_number() over (partition by target, pattern order by doc, pos) as r from w) where r = 1)
+select target, string_agg(pattern, ',' order by doc, pos, pattern) as patterns, count(*) as n from u group by target""")
 def dictionary_merge(spark, sf):
     parts = F.split("line", " ")
-    w = views.lines(spark, sf).where(F.size(parts) >= 2).select(F.lower(F.get(parts, F.lit(0))).alias("target"), F.lower(F.get(parts, F.lit(1))).alias("pattern"), (F.col("doc") * 100000 + F.col("pos")).alias("o"))
-    return ops.merge_dictionaries(w, ("o",)).select("target", F.array_join("patterns", ",").alias("patterns"), F.size("patterns").cast("bigint").alias("n"))
+    w = views.lines(spark, sf).where(F.size(parts) >= 2).select(F.lower(F.get(parts, F.lit(0))).alias("target"), F.lower(F.get(parts, F.lit(1))).alias("pattern"), "doc", "pos")
+    return ops.merge_dictionaries(w, ("doc", "pos")).select("target", F.array_join("patterns", ",").alias("patterns"), F.size("patterns").cast("bigint").alias("n"))
 
 
 @query(f"""with {SQL_ITEMS} select stream, pos as block, cast(start as bigint) as start_sec, cast(start + dur as bigint) as end_sec, trim(regexp_replace(text, '\\n+', ' ', 'g')) as text,
@@ -68,14 +68,48 @@ def srt_align(spark, sf):
     return parsed.select("stream", F.get("_p", F.col("block")).alias("block"), "start_sec", "end_sec", "text", word.alias("keyword"))
 
 
-@query("""select l.doc_id, d.source, l.quality, coalesce(l.toxic, 0) as toxic, 'src' || (d.doc_id % 20) = d.source as regular from documents d join labels l using (doc_id)""")
+@query(f"""with {SQL_ITEMS}, k(i, word) as (values (1, 'heit'), (2, 'que'), (3, 'zzz'), (4, 'the')),
+h as (select word, min(doc_id) as chunk from documents join k on contains(lower(text), word) group by word),
+b as (select stream, pos, (select min(i) from k where contains(lower(text), word)) as i from items)
+select stream, pos, word as keyword, chunk from b left join k using (i) left join h using (word)""")
+def reference_alignment(spark, sf):
+    """Blocks of a reference beside the first chunk that holds their keyword."""
+    words = ["heit", "que", "zzz", "the"]
+    found = F.explode(F.array_compact(F.array(*(F.when(F.contains(F.lower("text"), F.lit(w)), F.lit(w)) for w in words))))
+    hits = views.read(spark, sf, "documents").select(found.alias("keyword"), "doc_id").groupBy("keyword").agg(F.min("doc_id").alias("chunk"))
+    return ops.align_reference(views.items(spark, sf), words, hits).select("stream", "pos", "keyword", "chunk")
+
+
+@query(f"""with {SQL_CHAT}, f as (select distinct 'logs/livechat_chunk_' || printf('%02d', stream) || '.txt' as file, stream from chat)
+select file, case when stream % 3 = 0 then 'part_' || stream else 'chunk_' || printf('%02d', stream) end as chunk from f""")
+def chat_file_chunks(spark, sf):
+    streams = views.chat(spark, sf).select("stream").distinct()
+    name = F.format_string("livechat_chunk_%02d.txt", "stream")
+    listed = streams.where("stream % 3 = 0").withColumn("twice", F.explode(F.array(F.lit(0), F.lit(1))))
+    index = listed.select((F.col("stream") * 2 + F.col("twice")).alias("pos"), F.when(F.col("twice") == 0, F.concat(F.lit("part_"), "stream")).otherwise("later").alias("chunk"), F.concat(F.lit("old/"), name).alias("file"))
+    return ops.chunk_of_file(streams.select(F.concat(F.lit("logs/"), name).alias("file")), index).select("file", "chunk")
+
+
+@query("""select d.doc_id, d.source, coalesce(l.quality, -1) as quality, coalesce(l.toxic, 0) as toxic, 'src' || (d.doc_id % 20) = d.source as regular from documents d left join labels l using (doc_id)""")
 def signal_lookup(spark, sf):
-    d = views.read(spark, sf, "documents")
-    both = d.select("doc_id", "source").join(views.read(spark, sf, "labels"), "doc_id")
-    return both.select("doc_id", "source", "quality", F.coalesce("toxic", F.lit(0)).alias("toxic"), (F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")) == F.col("source")).alias("regular"))
+    d = views.read(spark, sf, "documents").select("doc_id", "source")
+    both = ops.with_defaults(d, views.read(spark, sf, "labels"), "doc_id", {"quality": -1, "toxic": 0})
+    return both.withColumn("regular", F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")) == F.col("source"))
+
+
+@query("""select '"w' || doc_id || '"' as line, 'w' || doc_id as garbled, case doc_id % 4 when 0 then null else 'x' || doc_id end as correct, case when doc_id % 3 = 0 then '00:00:0' || (doc_id % 10) else '' end as ts, case when doc_id % 5 = 0 then 'chunk_' || doc_id else 'notes_a' end as chunk from documents""")
+def garbled_notes(spark, sf):
+    from tidemark.sources.markers import notes
+
+    i = F.col("doc_id").cast("string")
+    correct = F.when(F.col("doc_id") % 4 == 0, "Unknown").otherwise(F.concat(F.lit("x"), i))
+    ts = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" @ 00:00:0"), (F.col("doc_id") % 10).cast("string"))).otherwise("")
+    chunk = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" (chunk_"), i, F.lit(")"))).otherwise("")
+    lines = views.read(spark, sf, "documents").select(F.lit("notes_a.txt").alias("file"), F.concat(F.lit('- "w'), i, F.lit('" -> '), correct, ts, chunk, F.lit("  ")).alias("line"))
+    return notes(lines).select(F.concat(F.lit('"'), "garbled", F.lit('"')).alias("line"), "garbled", "correct", "ts", "chunk")
 
 
-@query()
+@query("""select l_orderkey, '[' || string_agg('{"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey || '}', ',' order by l_linenumber, l_partkey) || ']' as lines from lineitem group by l_orderkey""")
 def catalog_text(spark, sf):
     """Nested columns of a catalog as JSON, one row per key."""
     g = views.read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))

@@ -22,7 +22,7 @@ def loop_ngrams(spark, sf):
     return ops.top_grams(views.lines(spark, sf), ("doc", "pos"), "line")
 
 
-@query(f"""with {SQL_ITEMS}, t as (select stream, pos, substring(text, 1, 120) as t from items),
+@query(f"""with {SQL_ITEMS}, t as (select stream, pos, text as t from items),
 g as (select stream, pos, t, n, substring(t, i, n) as g from (select *, unnest(range(1, length(t) - n + 2)) as i from (select *, unnest([2, 3, 4]) as n from t where length(t) >= 8))),
 k as (select distinct stream, pos, n, length(t) as len, g, (length(t) - length(replace(t, g, ''))) // length(g) as c from g)
 select t.stream, t.pos, coalesce(bool_or(k.c >= 2 and k.c * k.n / k.len > 0.15), false) as covered from t left join k using (stream, pos) group by 1, 2""")
@@ -58,7 +58,15 @@ def uncertain_runs(spark, sf):
     return ops.uncertain_runs(u, retry=60).drop("end")
 
 
-@query()
+# position by position, as the scan goes: how often the pattern that begins there recurs says where it goes on
+@query(f"""with recursive {SQL_CHAT}, r as (select stream, seq, kind, row_number() over (partition by stream order by sec, seq) as k, count(*) over (partition by stream) as n from chat),
+e as (select stream, p, k, seq, n, coalesce(kind = lag(kind, p) over (partition by stream, p order by k), false) as same from (select r.*, unnest([1, 2, 3]) as p from r)),
+b as (select *, min(case when not same then k end) over (partition by stream, p order by k rows between current row and unbounded following) as other from e),
+m as (select a.stream, a.p, a.k, 1 + (coalesce(b.other, a.n + 1) - b.k) // a.p as times from b a join b on b.stream = a.stream and b.p = a.p and b.k = a.k + a.p),
+s as (select stream, p, cast(1 as bigint) as k from m where k = 1
+  union all select s.stream, s.p, case when m.times >= case s.p when 1 then 4 else 3 end then s.k + m.times * s.p else s.k + 1 end from s join m on m.stream = s.stream and m.p = s.p and m.k = s.k),
+hit as (select m.stream, m.k as a, m.k + m.times * m.p as z from s join m using (stream, p, k) where m.times >= case m.p when 1 then 4 else 3 end)
+select r.stream, seq, exists (select 1 from hit where hit.stream = r.stream and r.k >= a and r.k < z) as in_loop from r""")
 def loop_scan(spark, sf):
-    """Loops of one to three lines, scanned greedily; brute force in the tests."""
-    return ops.loops(views.chat(spark, sf).select("stream", "sec", "seq", "kind"), ("stream",), ("sec", "seq"), "kind")
+    """Loops of one to three lines."""
+    return ops.loops(views.chat(spark, sf).select("stream", "sec", "seq", "kind"), ("stream",), ("sec", "seq"), "kind").select("stream", "seq", "in_loop")

@@ -28,9 +28,9 @@ def _packed(spark, sf):
     return ops.greedy_pack(_sized(spark, sf).select("stream", "sec", "seq", "time", "tag", "desc", "raw", "macro", "bytes"))
 
 
-@query("""with l as (select doc_id, string_split(text, chr(10))[1] as line from documents),
-b as (select doc_id, line, case when regexp_matches(lower(line), 'boss|heit') then '[Boss]' when regexp_matches(lower(line), 'license|released') then '[News]' when regexp_matches(lower(line), 'ción|que') then '[Story]' when regexp_matches(lower(line), 'the') then '[Talk]' end as best from l)
-select doc_id, case when best = '[News]' and regexp_matches(lower(line), 'license.*gnu') then null when best <> '[Talk]' then best end as new_tag from b""")
+@query(f"""with {SQL_LINES},
+b as (select doc, pos, line, case when regexp_matches(lower(line), 'boss|heit') then '[Boss]' when regexp_matches(lower(line), 'license|released') then '[News]' when regexp_matches(lower(line), 'ción|que') then '[Story]' when regexp_matches(lower(line), 'the') then '[Talk]' end as best from lines)
+select doc, pos, case when best = '[News]' and regexp_matches(lower(line), 'license.*gnu') then null when best <> '[Talk]' then best end as new_tag from b""")
 def retag_rules(spark, sf):
     return views.lines(spark, sf).select("doc", "pos", ops.retag(F.col("line"), F.lit("[Talk]"), RULES, VETOES).alias("new_tag"))
 
@@ -39,7 +39,7 @@ def retag_rules(spark, sf):
 d as (select *, coalesce(last_value(sure ignore nulls) over (partition by stream order by sec, seq rows between unbounded preceding and current row), f) as cur from c)
 select stream, seq, cast(sum(new) over (partition by stream order by sec, seq) as bigint) as seg from (select *, case when cur <> lag(cur) over (partition by stream order by sec, seq) then 1 else 0 end as new from d)""")
 def cluster_by_tag(spark, sf):
-    return ops.cluster_by_tag(views.markers(spark, sf)).select("stream", "seq", "seg")
+    return windows.confirmed(views.markers(spark, sf), "macro", ("stream",), ("sec", "seq")).select("stream", "seq", "seg")
 
 
 @query(f"""with {SQL_MARKERS} select stream, seq from (select *, lag(tag) over (partition by stream order by sec, seq) as b from markers) where not (tag = '[View]' and coalesce(b, '') = '[View]')""")
@@ -47,10 +47,10 @@ def story_collapse(spark, sf):
     return ops.collapse(views.markers(spark, sf), "[View]").select("stream", "seq")
 
 
-@query(f"""with {SQL_LINES} select line as raw, min(doc * 100000 + pos) as first_place, count(*) as n from lines where line <> '' group by line""")
+@query(f"""with {SQL_LINES} select raw, first_doc, first_pos, n from (select line as raw, doc as first_doc, pos as first_pos, row_number() over (partition by line order by doc, pos) as r, count(*) over (partition by line) as n from lines where line <> '') where r = 1""")
 def merge_exact(spark, sf):
-    lines = views.lines(spark, sf).where("line <> ''").select(F.col("line").alias("raw"), (F.col("doc") * 100000 + F.col("pos")).alias("place"))
-    first = ops.merge_exact(lines, order=("place",)).select("raw", F.col("place").alias("first_place"))
+    lines = views.lines(spark, sf).where("line <> ''").select(F.col("line").alias("raw"), "doc", "pos")
+    first = ops.merge_exact(lines, order=("doc", "pos")).select("raw", F.col("doc").alias("first_doc"), F.col("pos").alias("first_pos"))
     return first.join(lines.groupBy("raw").agg(F.count("*").alias("n")), "raw")
 
 
@@ -126,7 +126,7 @@ def name_cross_reference(spark, sf):
     return ops.unsupported_names(m, allowed).select("stream", "seq", "name")
 
 
-@query(f"""with {SQL_LINES}, t as (select doc, pos, list_distinct(list_transform(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(line, '\\d{{2}}:\\d{{2}}:\\d{{2}}', '', 'g'), '\\[.*?\\]', '', 'g'), '[–—,:;.?!()<>"''\\[\\]{{}}-]', ' ', 'g'), '\\s+'), lambda x: length(x) >= 2), lambda x: lower(x))) as t from lines where pos < 5),
+@query(f"""with {SQL_LINES}, t as (select doc, pos, list_distinct(list_transform(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(line, '\\d{{2}}:\\d{{2}}:\\d{{2}}', '', 'g'), '\\[.*?\\]', '', 'g'), '[–—,:;.?!()<>"''\\[\\]{{}}-]', ' ', 'g'), '\\s+'), lambda x: length(x) >= 2), lambda x: lower(x))) as t from lines),
 f as (select doc, pos, t, first_value(t) over (partition by doc order by pos) as t0, row_number() over (partition by doc order by pos) as k from t),
 o as (select doc, min(case when k > 1 then case when len(t) = 0 or len(t0) = 0 then 0 else len(list_intersect(t, t0)) / len(list_distinct(list_concat(t, t0))) end end) as o, count(*) as n from f group by doc)
 select doc, round(o, 4) as min_overlap, o < 0.1 and n >= 3 as flagged from o where n > 1""")
@@ -144,20 +144,45 @@ def tag_flips(spark, sf):
 f as (select *, case when category = lag(category) over (partition by stream order by idx) then 0 else 1 end as new, row_number() over (partition by stream order by idx) as r from c),
 i as (select *, sum(new) over (partition by stream order by idx) - 1 as island from f)
 select stream, cast(island as bigint) as island, category, arg_min(ts, idx) as first_ts, arg_max(ts, idx) as last_ts, count(*) as n_chunks, cast(sum(strlen(text) + 1) - case when island = 0 then 0 else 1 end as bigint) as bytes,
-case when sum(strlen(text) + 1) - case when island = 0 then 0 else 1 end > 150 then 'WARN' else 'OK' end as status from i group by stream, island, category""")
+case when sum(strlen(text) + 1) - case when island = 0 then 0 else 1 end > 400 then 'OVER' when sum(strlen(text) + 1) - case when island = 0 then 0 else 1 end > 150 then 'WARN' else 'OK' end as status from i group by stream, island, category""")
 def category_blocks(spark, sf):
     kinds = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sec", "seq", "kind"))), lambda x: x["kind"]), " ")
     c = views.chat(spark, sf).groupBy("stream", F.floor(F.col("sec") / 600).cast("bigint").alias("idx")).agg(F.max("kind").alias("category"), kinds.alias("text"), F.min("sec").alias("ts"))
-    return ops.category_blocks(c, warn=150)
+    return ops.category_blocks(c, warn=150, over=400)
 
 
 @query()
 def halved_segments(spark, sf):
     """Clustered segments over 400 bytes halved, tiny ones joined; brute force in the tests."""
-    rows = ops.cluster_by_tag(_sized(spark, sf)).select("stream", "sec", "seq", "bytes", "seg")
+    rows = windows.confirmed(_sized(spark, sf), "macro", ("stream",), ("sec", "seq")).select("stream", "sec", "seq", "bytes", "seg")
     return ops.normalise(rows, limit=400, tiny=60)
 
 
-@query()
+@query(f"""with recursive {SQL_PARTS}, d as (select stream, part, sec, seq, "desc" as d, row_number() over (partition by stream, part, lower("desc") order by sec, seq) as r from parts where "desc" <> ''),
+l as (select stream, part, list(d order by sec, seq) as l, count(*) as n from d where r = 1 group by 1, 2)
+select stream, part, case when n <= 3 then array_to_string(l, ' | ') else l[1] || ' | ' || l[n // 2 + 1] || ' | ' || l[n] end as title from l""")
 def part_titles(spark, sf):
     return ops.titles(_packed(spark, sf), ("stream", "part"))
+
+
+@query(f"""with {SQL_CHAT}, m as (select stream, sec, seq from chat), g(a, z, mood) as (values (3600, 7200, 'pulse'), (7000, 30000, 'natural'), (50000, 50001, 'pulse'))
+select stream, seq, case when stream % 4 = 0 then true else coalesce((select first(mood order by a) <> 'natural' from g where sec >= a and sec < z), false) end as in_pulse from m""")
+def mood_membership(spark, sf):
+    """Whether a marker stands in a pulsing segment of its stream; streams without segments count whole."""
+    m = views.chat(spark, sf).select("stream", "sec", "seq")
+    segment = lambda a, z, mood: F.struct(F.lit(a).alias("start"), F.lit(z).alias("end"), F.lit(mood).alias("mood"))
+    known = F.array(segment(3600, 7200, "pulse"), segment(7000, 30000, "natural"), segment(50000, 50001, "pulse"))
+    moods = m.select("stream").distinct().where("stream % 4 <> 0 or stream % 8 = 0").withColumn("segments", F.when(F.col("stream") % 4 != 0, known))
+    return ops.in_segment(m, moods, "stream").select("stream", "seq", "in_pulse")
+
+
+@query(f"""with {SQL_MARKERS} select stream, seq, sec, case when seq % 3 = 0 then '[Talk]' else tag end as tag, "desc", time || ' - ' || case when seq % 3 = 0 then '[Talk]' else tag end || ' ' || "desc" as raw from markers""")
+def flexible_markers(spark, sf):
+    """Lines with and without tag, rule and single spaces, as markers written anew."""
+    from tidemark.functions.clock import fmt_clock
+    from tidemark.sources.markers import parse_markers
+
+    c = views.chat(spark, sf)
+    tag = F.when(F.col("seq") % 3 == 0, "").otherwise(F.concat(F.lit("["), F.initcap("kind"), F.lit("]")))
+    line = F.concat(F.lit(" "), fmt_clock(F.col("sec")), F.when(F.col("seq") % 2 == 0, "  -   ").otherwise(" "), tag, F.lit("  "), "props", F.lit(" "))
+    return parse_markers(c.select("stream", "seq", line.alias("line")), grammar="flexible").select("stream", "seq", "sec", "tag", "desc", "raw")

@@ -36,7 +36,9 @@ def _hits(spark, sf, threshold=1):
 
 
 def _idf(spark, sf):
-    return ops.idf(_hits(spark, sf), views.read(spark, sf, "documents").count())
+    """A row per keyword of the dictionary, worked out once: what is scored by it reads the texts only once more."""
+    rarity = ops.idf(_hits(spark, sf), views.read(spark, sf, "documents").count())
+    return spark.createDataFrame(rarity.collect(), rarity.schema)
 
 
 @query("""select doc_id, case when len(c) = 0 then 'unknown' else array_to_string(c, ',') end as categories, case when len(c) = 0 then 'unknown' else c[1] end as main from (
@@ -54,7 +56,7 @@ def keyword_hits(spark, sf):
 
 @query(f"with {SQL_IDF} select * from idf")
 def keyword_idf(spark, sf):
-    return _idf(spark, sf)
+    return ops.idf(_hits(spark, sf), views.read(spark, sf, "documents").count())
 
 
 @query(f"with {SQL_IDF}, {_weighted('file')} select chunk, file, score, share, rank from files")
