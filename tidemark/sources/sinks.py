@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.clock import fmt_clock
-from tidemark.functions.text import escape_xml
+from tidemark.functions.text import clean, escape_xml, strip
+from tidemark.operators.catalog import children as child_rows
+from tidemark.operators.catalog import to_text_columns
 
 
 def write_chunks(chunked: DataFrame, path: str, kind: str = "json", overlap: int = 0) -> None:
@@ -33,9 +37,14 @@ def write_feed(rows: DataFrame, path: str, line: Column) -> None:
 
 
 def write_chat_logs(joined: DataFrame, path: str, index_path: str) -> None:
-    """Chat lines by chunk, and an index of chunk, count, start, end that keeps chunks without lines."""
+    """Chat lines by chunk, and an index of chunk, count, start, end that keeps chunks without lines; those have an empty folder."""
     joined.where("line is not null").select("chunk", "sec", F.col("line").alias("value")).repartition("chunk").sortWithinPartitions("chunk", "sec").drop("sec").write.partitionBy("chunk").text(path)
     joined.groupBy("chunk", "start", "end").agg(F.count("line").alias("count")).write.json(index_path)
+    spark = joined.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for r in spark.read.schema("chunk string, count bigint").json(index_path).where("count = 0").toLocalIterator():
+        files.mkdirs(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"chunk={r['chunk']}"))
 
 
 def parts_markdown(rows: DataFrame, titles: DataFrame, keys: tuple[str, ...] = ("stream",), order: tuple[str, ...] = ("sec", "seq"), rule: str = "═" * 30) -> DataFrame:
@@ -47,9 +56,43 @@ def parts_markdown(rows: DataFrame, titles: DataFrame, keys: tuple[str, ...] = (
 
 
 def write_parts(parts: DataFrame, markdown_path: str, json_path: str, keys: tuple[str, ...] = ("stream",)) -> None:
-    w = Window.partitionBy(*keys).orderBy("part")
-    parts.withColumn("_n", F.row_number().over(w)).sortWithinPartitions(*keys, "part").select(F.col("markdown").alias("value")).write.text(markdown_path)
-    parts.select(*keys, "part", "title", "start", "body").write.json(json_path)
+    """Markdown and JSON of parts in their order, within the files and by the files' names."""
+    ranged = parts.orderBy(*keys, "part")
+    ranged.select(F.col("markdown").alias("value")).write.text(markdown_path)
+    ranged.select(*keys, "part", "title", "start", "body").write.json(json_path)
+
+
+def write_live_chunks(rows: DataFrame, path: str, line: Column, span: int = 300) -> None:
+    """Chat lines in folders livechat_chunk_1, _2, ... by spans of seconds, in order within each."""
+    name = F.concat(F.lit("livechat_chunk_"), (F.floor(F.col("sec") / span) + 1).cast("string"))
+    out = rows.select(name.alias("chunk"), "sec", line.alias("value"))
+    out.repartition("chunk").sortWithinPartitions("chunk", "sec").drop("sec").write.partitionBy("chunk").text(path)
+
+
+def write_report(rows: DataFrame, path: str, key: str = "chunk", matched: Column | None = None) -> None:
+    """A report by chunk (signals, moods, topics): a JSON line for each, and a summary of how many there are and match."""
+    body = F.to_json(F.struct(*(c for c in rows.columns if c != key)))
+    rows.select(key, body.alias("report")).orderBy(key).write.json(f"{path}/chunks")
+    hit = F.count_if(matched if matched is not None else F.lit(True))
+    rows.agg(F.count("*").alias("chunks_processed"), hit.alias("chunks_with_signals")).write.json(f"{path}/summary")
+
+
+def clean_chunks(chunks: DataFrame, patterns: Sequence[tuple[str, str]], path: str | None = None) -> DataFrame:
+    """chunk, pos, before, after of every item that the patterns change; the cleaned chunks go to a new path, unless it is None
+    (a dry run). Texts are compared without the space around them."""
+    items = chunks.select("chunk", F.posexplode("items").alias("pos", "i")).select("chunk", "pos", strip(F.coalesce("i.text", F.lit(""))).alias("before"))
+    changes = items.withColumn("after", clean(F.col("before"), patterns)).where("before <> after")
+    if path is not None:
+        done = F.transform("items", lambda i: i.withField("text", F.when(clean(strip(i["text"]), patterns) != strip(i["text"]), clean(strip(i["text"]), patterns)).otherwise(i["text"])))
+        chunks.withColumn("items", done).write.partitionBy("chunk").json(path)
+    return changes
+
+
+def write_catalog(rows: DataFrame, path: str, version: str, built: str, keys: tuple[str, ...], children: dict[str, str]) -> None:
+    """A catalog's tables, each written anew: the entities with nested values as JSON, and a table for each array of children."""
+    write_table(to_text_columns(rows.drop(*children.values())), f"{path}/entities", version, built)
+    for name, array in children.items():
+        write_table(to_text_columns(child_rows(rows, array, keys)), f"{path}/{name}", version, built)
 
 
 def write_table(rows: DataFrame, path: str, version: str, built: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.clock import chunk_number, fmt_clock, parse_clock
@@ -61,9 +61,42 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no (from 0), line of text files; the numbers hold whatever the partitions."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    """file, line_no (from 0), line of text files.
+
+    Large files are read in blocks: a line's number is its place in its block and the number of lines in the blocks before, of
+    which there are few.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    blocks = lines.groupBy("_path", "_block").agg(F.count("*").alias("_n"))
+    before = blocks.select(F.col("_path").alias("_p"), F.col("_block").alias("_b"), (F.sum("_n").over(Window.partitionBy("_path").orderBy("_block")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_path", "_block").orderBy("_id")) - 1
+    found = lines.withColumn("_at", place).join(before, (F.col("_path") == F.col("_p")) & (F.col("_block") == F.col("_b")))
+    return found.select("file", (F.col("_before") + F.col("_at")).cast("int").alias("line_no"), "line")
+
+
+def found_files(spark: SparkSession, pattern: str) -> list[str]:
+    """The files that a pattern finds, in any file system that Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return [f.getPath().toString() for f in found or []]
+
+
+def chunks(spark: SparkSession, path: str, both: bool = False, ordered: bool = False) -> DataFrame:
+    """chunk, chunk_no, start_sec, end_sec, items of a chunk file, by its suffix, or of a folder's chunk_* files.
+
+    Of a folder the JSON files count, or the XML files if there are none; both: all of either kind. ordered: by the chunks' numbers,
+    not by their names.
+    """
+    if path.endswith((".json", ".xml")):
+        found = chunks_xml(spark, path) if path.endswith(".xml") else chunks_json(spark, path)
+    else:
+        readers = {"json": chunks_json, "xml": chunks_xml}
+        there = [kind for kind in readers if found_files(spark, f"{path}/chunk_*.{kind}")]
+        parts = [readers[kind](spark, f"{path}/chunk_*.{kind}") for kind in (there if both else there[:1])]
+        if not parts:
+            return spark.createDataFrame([], f"chunk string, chunk_no int, {CHUNK}")
+        found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return found.orderBy("chunk_no", "chunk") if ordered else found
 
 
 def chunks_json(spark: SparkSession, path: str) -> DataFrame:

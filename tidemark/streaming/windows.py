@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,22 +43,47 @@ def with_signals(chunks: DataFrame, signals: DataFrame, key: str = "chunk") -> D
     return chunks.join(signals, key, "left")
 
 
-def kept_stream(rows: DataFrame, within: int = 600, key: str = "stream") -> DataFrame:
-    """stream, sec, tag, seq without rows less than so long after the last kept row of the same tag.
+def kept_stream(rows: DataFrame, within: int = 600, key: str = "stream", tags: Sequence[str] | None = None, late: str | None = None) -> DataFrame:
+    """key, sec, tag, seq without rows of a listed tag (any, if there is no list) less than so long after the last kept row, if that
+    has the same tag.
 
-    State: the last kept row of a stream, one a stream; rows of a batch are taken in order of their seconds.
+    State: the last kept row of a key, and with `late` (rows with ts) the rows that one before them may still precede. Those wait
+    until the watermark has passed them, so the result is the batch form's however the rows come in, if none is later than that.
+    Without `late` rows are taken in order of their seconds within a micro-batch, each micro-batch after the one before.
     """
+    listed = None if tags is None else frozenset(tags)
 
     def keep(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tag, at = state.get if state.exists else (None, -(1 << 40))
-        rows = pd.concat(list(batches)).sort_values(["sec", "seq"])
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.tag == tag and r.sec - at < within:
-                continue
-            tag, at = r.tag, r.sec
-            out.append((k[0], r.sec, r.tag, r.seq))
-        state.update((tag, int(at)))
+        tag, at, secs, names, seqs = state.get if state.exists else (None, -(1 << 40), [], [], [])
+        waiting = list(zip(secs, names, seqs, strict=True))
+        if not state.hasTimedOut:
+            for rows in batches:
+                waiting += zip(rows["sec"].tolist(), rows["tag"].tolist(), rows["seq"].tolist(), strict=True)
+        safe = state.getCurrentWatermarkMs() // 1000 if late else 1 << 62
+        out, later = [], []
+        for row in sorted(waiting, key=lambda r: (r[0], r[2])):
+            if row[0] >= safe:
+                later.append(row)
+            elif not (row[1] == tag and row[0] - at < within and (listed is None or tag in listed)):
+                tag, at = row[1], row[0]
+                out.append((k[0], row[0], row[1], row[2]))
+        state.update((tag, int(at), *([r[j] for r in later] for j in range(3))))
+        if later:
+            state.setTimeoutTimestamp(max(later[0][0] * 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, "sec", "tag", "seq"])
 
-    return rows.groupBy(key).applyInPandasWithState(keep, f"{key} bigint, sec bigint, tag string, seq bigint", "tag string, sec bigint", "append", GroupStateTimeout.NoTimeout)
+    kind = rows.schema[key].dataType.simpleString()
+    if late:
+        rows = rows.withWatermark("ts", late)
+    timeout = GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout
+    return rows.groupBy(key).applyInPandasWithState(keep, f"{key} {kind}, sec bigint, tag string, seq bigint", "tag string, sec bigint, secs array<bigint>, tags array<string>, seqs array<bigint>", "append", timeout)
+
+
+def write_once(rows: DataFrame, path: str, checkpoint: str, keys: Sequence[str]):  # noqa: ANN201
+    """Starts a stream into Parquet at a path, a folder for each micro-batch, written over if the batch runs again: a run that ended
+    half-way leaves nothing twice. Rows of equal keys within a micro-batch count once."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.dropDuplicates(list(keys)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
