@@ -37,10 +37,12 @@ from tidemark.llm.common import bit_of, bitmap_bits, components, cut, held, id_b
 
 #: Common shingles that the order knows, at most; hashes that a task counts at once; members of a list compared at once;
 #: members that are checked against one leader at once, and their shingles in all.
-COMMON, COUNTED, BLOCK, FANOUT, HELD = 1 << 18, 1 << 21, 1024, 128, 1 << 22
+COMMON, COUNTED, BLOCK, FANOUT, HELD = 1 << 18, 1 << 20, 1024, 128, 1 << 20
+#: Rows of a block that are held against the other block at once.
+STRIP = 64
 BUCKETS = 64
-#: So many pairs are broadcast to the sets (some 16 MB); more of them meet the sets in a shuffled join.
-BROADCAST_PAIRS = 400_000
+#: So many pairs are broadcast to the sets (some 8 MB); more of them meet the sets in a shuffled join.
+BROADCAST_PAIRS = 200_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -255,8 +257,8 @@ def _across(postings: DataFrame, like: Likeness) -> DataFrame:
         doc, n, p, i, root, block, sk = (np.concatenate(c) for c in zip(*rows, strict=True))
         left, right = (np.flatnonzero(block == z) for z in (x, y))
         out = []
-        for at in range(0, len(left), BLOCK):
-            a, b = np.meshgrid(left[at : at + BLOCK], right, indexing="ij")
+        for at in range(0, len(left), STRIP):
+            a, b = np.meshgrid(left[at : at + STRIP], right, indexing="ij")
             a, b = a.ravel(), b.ravel()
             fine = (root[a] != root[b]) & (doc[a] != doc[b])
             if x == y:
