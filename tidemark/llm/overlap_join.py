@@ -37,12 +37,12 @@ from tidemark.llm.common import bit_of, bitmap_bits, components, cut, held, id_b
 
 #: Common shingles that the order knows, at most; hashes that a task counts at once; members of a list compared at once;
 #: members that are checked against one leader at once, and their shingles in all.
-COMMON, COUNTED, BLOCK, FANOUT, HELD = 1 << 18, 1 << 20, 1024, 128, 1 << 20
+COMMON, COUNTED, BLOCK, FANOUT, HELD = 1 << 18, 1 << 21, 1024, 128, 1 << 20
 #: Rows of a block that are held against the other block at once.
 STRIP = 64
 BUCKETS = 64
-#: So many pairs are broadcast to the sets (some 8 MB); more of them meet the sets in a shuffled join.
-BROADCAST_PAIRS = 200_000
+#: So many pairs are broadcast to the sets (some 16 MB); more of them meet the sets in a shuffled join.
+BROADCAST_PAIRS = 400_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -385,16 +385,24 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs, in all their columns: of each component of similar rows the one of the smallest doc_id, null ones last.
 
-    Rows are compared by numbers of their own, so repeated and null doc_ids are rows as any other.
+    Where whole-number doc_ids are all there and all different they name the rows, and no text is written; else the rows are written
+    with numbers of their own, so repeated and null doc_ids are rows as any other. The ids that go are counted as a table first, so
+    few of them are broadcast and many meet the rows in a shuffled join.
     """
+    if docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+            found = classes(docs, words, num, den)
+            gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("tm_gone")))
+            return docs.join(gone, docs["doc_id"] == gone["tm_gone"], "left_anti")
     row = "tm_row"
     while row in docs.columns:
         row += "_"
     numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
-    found = classes(numbered.select(F.col(row).alias("doc_id"), "text"), words, num, den).select(F.col("doc_id").alias(row), "component_id")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col(row).alias("row"))
+    found = cut(classes(numbered.select(F.col(row).alias("doc_id"), "text"), words, num, den).select(F.col("doc_id").alias(row), "component_id"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
     kept = found.join(numbered.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(place)["row"].alias(row)).select(row)
-    return numbered.join(kept, row, "left_semi").select(*docs.columns)
+    gone = cut(found.select(row).join(kept, row, "left_anti"))
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def op10_divide_skip(spark, sf_dir) -> DataFrame:
