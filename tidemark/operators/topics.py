@@ -37,9 +37,9 @@ def idf(hits: DataFrame, n_chunks: int, key: str = "chunk") -> DataFrame:
 def weighted(hits: DataFrame, rarity: DataFrame, by: str, key: str = "chunk") -> DataFrame:
     """chunk, by, score, share, rank: sums of count * idf by file or kind; equal scores rank by the keywords' order.
 
-    rarity has a row per keyword: it is broadcast, as the dictionary is.
+    rarity has a row per keyword: it is broadcast, as the dictionary is. The hits meet by chunk alone, for sums and ranks alike.
     """
-    scores = hits.join(F.broadcast(rarity), "keyword").where(F.col(by).isNotNull()).groupBy(key, by).agg(F.round(F.sum(F.col("n") * F.col("idf")), 4).alias("score"), F.min("kw_pos").alias("_pos"))
+    scores = hits.repartition(key).join(F.broadcast(rarity), "keyword").where(F.col(by).isNotNull()).groupBy(key, by).agg(F.round(F.sum(F.col("n") * F.col("idf")), 4).alias("score"), F.min("kw_pos").alias("_pos"))
     total = F.sum("score").over(Window.partitionBy(key))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "_pos"))
     return scores.select(key, by, "score", F.round(F.coalesce(F.try_divide("score", total), F.lit(0.0)), 3).alias("share"), rank.cast("bigint").alias("rank"))
