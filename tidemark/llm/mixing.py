@@ -29,8 +29,8 @@ MAX_ROWS, MAX_TOKENS, STEPS = 6000, 600, 25
 STEM = 5
 #: Of the labels' domains: good text, toxic text, and text of low quality.
 TARGETS = {"clean": 0.97, "toxic": 0.02, "junk": 0.01}
-_MARKS = "$%&*#@|!^~+=<>{}[]\\/_`"
-_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_MARKS = r"[$%&*#@|!^~+=<>{}\[\]\\/_`]+"
+_CAPITALS = "[A-Z]+"
 _BASE = "\n"  # the token that every document has
 
 
@@ -39,19 +39,22 @@ def _text(docs: DataFrame) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[ \n\t\r]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"[ \n\t\r]+"), "")
 
 
-def _tokens(text: Column, words: Column) -> Column:
-    """The distinct stems of a text's words, and tokens of its shape."""
-    n = F.greatest(F.size(words), F.lit(1))
-    left = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
+def _tokens(texts: DataFrame) -> DataFrame:
+    """A row per token of a text, with its n_tokens, in place of text: the distinct stems of its words, and tokens of its shape."""
+    text, n, kinds = F.col("text"), F.greatest("n_tokens", F.lit(1)), F.col("tm_kinds")
+    split = texts.withColumns({"n_tokens": F.size(_words(text)).cast("long"), "tm_kinds": F.array_distinct(_words(text))})
+    left = lambda chars: F.octet_length(text) - F.octet_length(F.regexp_replace(text, chars, ""))
     level = lambda name, share: F.concat(F.lit(name + "\n"), F.floor(F.least(share, F.lit(1.0)) * 10).cast("string"))
     shape = F.array(
         F.lit(_BASE), level("marks", left(_MARKS) / n), level("capitals", left(_CAPITALS) / F.greatest(F.length(text), F.lit(1))),
-        level("kinds", F.size(F.array_distinct(words)) / n),
+        level("kinds", F.size(kinds) / n),
     )
-    return F.concat(shape, F.array_distinct(F.transform(words, lambda w: F.lower(w.substr(1, STEM)))))
+    stems = F.array_distinct(F.transform(kinds, lambda w: F.lower(w.substr(1, STEM))))
+    kept = [c for c in texts.columns if c != "text"]
+    return split.select(*kept, "n_tokens", F.explode(F.concat(shape, stems)).alias("token"))
 
 
 def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], max_rows: int = MAX_ROWS, max_tokens: int = MAX_TOKENS) -> DataFrame:
@@ -62,7 +65,7 @@ def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], max_row
     known = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # the bound of what is broadcast
     sample = docs.join(F.broadcast(known), "doc_id").select("domain", _text(docs).alias("text")).distinct()
-    sample = sample.select("domain", F.explode(_tokens(F.col("text"), _words(F.col("text")))).alias("token"))
+    sample = _tokens(sample)
     counts = cut(sample.groupBy("token").agg(*(F.count_if(F.col("domain") == d).alias(f"n_{k}") for k, d in enumerate(domains))))
     base = counts.where(F.col("token") == _BASE).first()
     totals = [base[f"n_{k}"] if base else 0 for k in range(len(domains))]
@@ -86,8 +89,7 @@ def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], max_row
 
 def posteriors(docs: DataFrame, model: DataFrame, domains: list[str]) -> DataFrame:
     """doc_id, text_hash, n_rows, n_tokens and p_<domain> of each document (rows of equal doc_id and text together)."""
-    rows = docs.select("doc_id", _text(docs).alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text", _words(F.col("text")).alias("words"))
-    rows = rows.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_tokens"), F.explode(_tokens(F.col("text"), F.col("words"))).alias("token"))
+    rows = _tokens(docs.select("doc_id", _text(docs).alias("text")).withColumn("text_hash", F.xxhash64("text")))
     sums = rows.join(F.broadcast(model), "token").groupBy("doc_id", "text_hash").agg(
         F.max("n_tokens").alias("n_tokens"), F.count_if(F.col("token") == _BASE).alias("n_rows"), *(F.sum(f"w_{k}").alias(f"w_{k}") for k in range(len(domains)))
     )
