@@ -593,3 +593,43 @@ def test_bitmap_holds_all_ids(spark):
 def test_names_of_noise():
     page = '<article class="post long-form comment-enabled"><p>kept</p><div class="notices">x</div><div class="top-ads">x</div><div class="long-form">kept</div></article><article class="comment">x</article>'
     assert style_tree.extract(page, {}) == "kept\n\nkept"
+
+
+def test_long_unlike_sets_are_not_sent(spark, monkeypatch):
+    """Long texts that share a passage pass the coarse counts; only those that can be similar have their whole sets sent."""
+    r = random.Random(5)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    passage, near, sent = words(30), words(2600), []
+    texts = [" ".join(passage + words(n)) for n in (2500, 2510, 2900, 3000)] + [" ".join(near), " ".join(near[:2200] + words(20)), " ".join(near[:1500] + words(1100))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+
+    def counted(df):
+        out = common.cut(df)
+        if out.columns == ["node", "first"]:
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(overlap_join, "cut", counted)
+    got = {x["doc_id"]: x["component_id"] for x in overlap_join.classes(docs).collect()}
+    sets = [set(overlap_join.shingles(t, 5).tolist()) for t in texts]
+    links = {(a, b) for a in range(7) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert links == {(5, 4)} and got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6}
+    assert sent[1:] == [2, 0]
+
+
+def test_fine_counts_bound_what_sets_share(spark):
+    """No pair that shares enough is dropped, whatever the sizes' buckets; a full bucket drops nothing."""
+    r = np.random.default_rng(3)
+    like, pairs, sizes = overlap_join.Likeness(80, 100), [], []
+    for k, n in enumerate((520, 900, 1024, 1025, 2048, 2300, 5000)):
+        a = np.unique(r.integers(-(2**63), 2**63 - 1, n))
+        for j, part in enumerate((1.0, 0.95, 0.85, 0.81, 0.5, 0.0)):
+            b = np.concatenate([a[: int(len(a) * part)], np.unique(r.integers(-(2**63), 2**63 - 1, int(len(a) * (1 - part) * 0.1) + (part < 0.6) * n // 2))])
+            x, y = 100 * k + 10 * j, 100 * k + 10 * j + 1
+            full = np.full(128, 255, np.uint8).tobytes() if part == 0.0 and k == 0 else None
+            for doc, s in ((x, a), (y, b)):
+                sizes.append((doc, len(s), full or overlap_join._counts(s, 1 << ((len(s) - 1) // overlap_join.EACH).bit_length()) if len(s) > overlap_join.LONG or full else None))
+            pairs.append((x, y, len(np.intersect1d(a, b)) >= like.overlap(len(a) + len(b)), full is not None))
+    found = overlap_join._finer(spark.createDataFrame([p[:2] for p in pairs], "a long, b long"), spark.createDataFrame([z for z in sizes if z[2] is not None], "doc long, n int, fine binary"), like)
+    found = {tuple(x) for x in found.collect()}
+    assert {p[:2] for p in pairs if p[2] or p[3]} <= found and sum(p[2] for p in pairs) >= 20 and len(found) < len(pairs) - 5

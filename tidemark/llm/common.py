@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -60,6 +61,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets the files of shuffles that nothing refers to any more go now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bitmap_bits(n: int) -> int:
     """The size of a bitmap of n ids: 16 bits an id, so one in 16 of the other ids gets through, up to MOST_BITS."""
     return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(16 * n + 1))))

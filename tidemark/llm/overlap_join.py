@@ -3,7 +3,8 @@
 Two sets are similar only if they share T shingles or more. Candidates come from inverted lists: shingles are put in one global
 order, common ones last, and of a set of n only the first n - T + 1 go to the lists (the prefix), as sets that share T must share
 one of those. The lists are a shuffle by shingle and a sorted stream over each. A pair must also pass its size, the place of the
-shared shingle, and a bound by the sets' counts in 64 hash buckets; all three only drop pairs that cannot be similar.
+shared shingle, and a bound by the sets' counts in 64 hash buckets, which says little of long sets, so pairs of those must pass it
+again with as many buckets as suit their sizes; all of these only drop pairs that cannot be similar.
 
 Candidates are decided by DivideSkip (divide_skip.py) on whole sets: a list's leader is the query, the members that it is to be
 compared with are the group searched. The inverted lists of the query's rarer shingles are merged by a heap that counts
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import divide_skip
-from tidemark.llm.common import bit_of, bitmap_bits, components, cut, held, id_bitmap, table
+from tidemark.llm.common import bit_of, bitmap_bits, components, cut, free_shuffles, held, id_bitmap, table
 
 #: Common shingles that the order knows, at most; hashes that a task counts at once; members of a list compared at once;
 #: members that are checked against one leader at once, and their shingles in all.
@@ -41,6 +42,9 @@ COMMON, COUNTED, BLOCK, FANOUT, HELD = 1 << 18, 1 << 21, 1024, 128, 1 << 20
 #: Rows of a block that are held against the other block at once.
 STRIP = 64
 BUCKETS = 64
+#: Sets of more than LONG shingles have fine counts, too: EACH shingles a bucket, at most.
+EACH = 8
+LONG = EACH * BUCKETS
 #: So many pairs are broadcast to the sets (some 16 MB); more of them meet the sets in a shuffled join.
 BROADCAST_PAIRS = 400_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
@@ -122,19 +126,26 @@ def _ranks(h: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.where(known[at] == h, rank[at], -1)
 
 
+def _counts(h: np.ndarray, buckets: int) -> bytes:
+    """How many of a set's shingles are in each bucket, 255 at most."""
+    return np.minimum(np.bincount((h & (buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
 def _prefixes(docs: DataFrame, words: int, like: Likeness, hint) -> DataFrame:  # noqa: ANN001
-    """doc_id, n, node (the whole set's id), prefix, n_index (how many of it are in the index prefix), counts by bucket."""
+    """doc_id, n, node (the whole set's id), prefix, n_index (how many of it are in the index prefix), counts by bucket, fine ones of
+    long sets."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = hint.value
         for batch in batches:
-            ns, nodes, prefixes, indexed, sketches = [], [], [], [], []
+            ns, nodes, prefixes, indexed, sketches, fine = [], [], [], [], [], []
             for text in batch.column(1):
                 h = shingles(text.as_py() or "", words)
                 n = len(h)
                 ns.append(n)
                 nodes.append(_node(h) if n else None)
-                sketches.append(np.minimum(np.bincount((h & (BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
+                sketches.append(_counts(h, BUCKETS))
+                fine.append(_counts(h, 1 << ((n - 1) // EACH).bit_length()) if n > LONG else None)
                 if n and len(known):
                     h = h[np.argsort(_ranks(h, known, rank), kind="stable")]
                 prefixes.append(h[: like.probe(n)] if n else h)
@@ -142,9 +153,9 @@ def _prefixes(docs: DataFrame, words: int, like: Likeness, hint) -> DataFrame:
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), pa.array(nodes, pa.int64()), lists, pa.array(indexed, pa.int32()), pa.array(sketches, pa.binary())], names=["doc_id", "n", "node", "prefix", "n_index", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), pa.array(nodes, pa.int64()), lists, pa.array(indexed, pa.int32()), pa.array(sketches, pa.binary()), pa.array(fine, pa.binary())], names=["doc_id", "n", "node", "prefix", "n_index", "sketch", "fine"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(made, "doc_id long, n int, node long, prefix array<long>, n_index int, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(made, "doc_id long, n int, node long, prefix array<long>, n_index int, sketch binary, fine binary")
 
 
 def _postings(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -250,6 +261,29 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, like: Likeness) -> DataFra
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bounded, "a long, b long")
 
 
+def _finer(pairs: DataFrame, sizes: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs (a, b) whose fine counts let them be similar; pairs of which a set isn't long stay. sizes: doc, n, fine of long sets.
+
+    The counts of the larger set are folded to the buckets of the smaller one.
+    """
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, fa, fb = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("na", "nb", "fa", "fb"))
+            good = np.ones(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(fa, fb, strict=True)):
+                if x is not None and y is not None:
+                    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                    if max(x.max(), y.max()) < 255:  # a full bucket bounds nothing
+                        x, y = (z.reshape(-1, min(len(x), len(y))).sum(0, dtype=np.int64) for z in (x, y))
+                        good[k] = np.minimum(x, y).sum() >= like.overlap(na[k] + nb[k])
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    for c in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("doc").alias(c), F.col("n").alias("n" + c), F.col("fine").alias("f" + c)), c, "left")
+    return pairs.select("a", "b", "na", "nb", "fa", "fb").mapInArrow(bounded, "a long, b long")
+
+
 def _across(postings: DataFrame, like: Likeness) -> DataFrame:
     """Pairs (a, b) of different roots in one list, or one pair of a long list's blocks; postings: x, y (blocks), block, root and the rest."""
 
@@ -303,6 +337,7 @@ def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, li
     The sets are made anew from the texts of the nodes' first documents, which a bitmap picks.
     """
     pairs = cut(pairs)
+    free_shuffles(docs.sparkSession)
     wanted = cut(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
     wide = bitmap_bits(wanted.count())
     bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(wanted, "first", wide))
@@ -363,15 +398,19 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
     # equal sets are one node
     nodes = cut(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")))
     sketches = rows.where("n > 0").groupBy(F.col("node").alias("doc")).agg(F.min("sketch").alias("sketch"))
+    long = rows.where("fine is not null").groupBy(F.col("node").alias("doc")).agg(F.min("n").alias("n"), F.min("fine").alias("fine"))
     lists = cut(_shared(_postings(rows, nodes)))
-    links = cut(_similar(docs, nodes, _plausible(_to_leaders(lists, like), sketches, like), words, like, hint))
+    free_shuffles(docs.sparkSession)
+    links = cut(_similar(docs, nodes, _finer(_plausible(_to_leaders(lists, like), sketches, like), long, like), words, like, hint))
+    free_shuffles(docs.sparkSession)
     roots = components(links)
     rooted = cut(lists.join(roots.select(F.col("id").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc")))
     mixed = rooted.groupBy("s").agg(F.count("*").alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2 and n > 2")
     mixed = mixed.select("s", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = rooted.join(mixed, "s").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("blocks", "other")
-    more = cut(_similar(docs, nodes, _across(dealt.join(sketches, "doc"), like), words, like, hint))
+    more = cut(_similar(docs, nodes, _finer(_across(dealt.join(sketches, "doc"), like), long, like), words, like, hint))
+    free_shuffles(docs.sparkSession)
     # rows of an equal doc_id are one
     several = rows.where("n > 0").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
     same = rows.where("n > 0").join(several, "doc_id").select("a", F.col("node").alias("b"))
